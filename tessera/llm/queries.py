@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, url_filter
+from . import decontaminate, mixing, pii, quality, url_filter
 from .common import table
 
 
+def op2_quality_classifier(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_benchmark_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -18,10 +22,16 @@ def op9_mixing(spark, sf_dir):
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark, sf_dir):
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
+    "op10_pii": op10_pii,
 }
 ORACLES = {
     "op3_benchmark_decontamination": decontaminate.ORACLE,
