@@ -31,7 +31,7 @@ THRESHOLD = 0.3
 BUCKETS = 2048
 FEATURES = 256 + BUCKETS + 1
 #: How much the bytes of words that repeat the word before them count.
-REPEATS = 3
+REPEATS = 16
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 WORDS = nonspace_class()
 _FILL = 1 << 18

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, pii, quality, url_filter
+from . import decontaminate, mixing, pii, quality, toxicity, url_filter
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op3_benchmark_decontamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_url_filters(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -29,6 +33,7 @@ def op10_pii(spark, sf_dir):
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_toxicity": op4_toxicity,
     "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
