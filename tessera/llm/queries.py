@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, pii, quality, toxicity, url_filter
+from . import decontaminate, lm_score, mixing, pii, quality, toxicity, url_filter
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_lm_scoring(spark, sf_dir):
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -34,6 +38,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_toxicity": op4_toxicity,
+    "op5_lm_scoring": op5_lm_scoring,
     "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
