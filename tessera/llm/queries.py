@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_score, mixing, pii, quality, toxicity, url_filter
+from . import decontaminate, embedding_dedup, lm_score, mixing, pii, quality, substring_dedup, toxicity, url_filter
 from .common import table
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeated_units(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -22,6 +26,10 @@ def op5_lm_scoring(spark, sf_dir):
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_url_filters(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -35,16 +43,20 @@ def op10_pii(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_lm_scoring": op5_lm_scoring,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
 }
 ORACLES = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
     "op3_benchmark_decontamination": decontaminate.ORACLE,
+    "op7_embedding_near_dedup": embedding_dedup.ORACLE,
     "op8_url_filters": url_filter.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
