@@ -155,6 +155,12 @@ def set_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for what a job writes between its steps."""
+    set_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage by files in the shared folder that spark.checkpoint.dir names."""
     set_checkpoint_dir(df.sparkSession)

@@ -4,7 +4,7 @@ Each source's documents stand in a shuffled order (md5 of the id). A word's virt
 time is the source's words up to it, over up to ``EPOCHS`` rounds, divided by the source's
 target; the mix is every word that finishes by the time at which the total budget is used
 up. As targets add up to the budget, that time is 1, and the documents that straddle it are
-cut there. ``schedule`` range-sorts the documents by virtual finish time.
+cut there. ``mix_documents`` range-sorts the texts by virtual finish time.
 
 Running sums never put a source in one task: a source is cut into 4096 pieces by the first
 12 bits of the shuffle key, pieces are summed first (partial aggregates), and only sums are
@@ -12,7 +12,7 @@ accumulated over a whole source. The pieces' offsets join on the same (source, p
 
 Edge cases: null text has size 0; sources without words have target 0; null is a source,
 the last; ties of the key (repeated ids) go by id, size and text digest, so that only rows equal in all of
-them are interchangeable; empty tables give no rows; extra columns are left out or kept (``schedule``).
+them are interchangeable (the mix itself also goes by the text's digest); empty tables give no rows; extra columns are left out, or kept in the mix unless they clash with its own.
 """
 
 from __future__ import annotations
@@ -53,18 +53,25 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int
     return s.select("source", "source_size", F.when(F.col("first").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), level)).alias("target"))
 
 
-def _positions(documents: DataFrame, weights, share, epochs, extra=()) -> DataFrame:
-    d = documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"), *extra)
-    d = d.withColumn("piece", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
-    pieces = d.groupBy("source", "piece").agg(F.sum("size").alias("piece_size"))
-    goal = targets(pieces.groupBy("source").agg(F.sum("piece_size").alias("source_size")), weights, share, epochs)
-    running = W.partitionBy("source").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
-    pieces = pieces.withColumn("offset", F.coalesce(F.sum("piece_size").over(running), F.lit(0)))
-    pieces = pieces.join(goal, pieces["source"].eqNullSafe(goal["source"])).select(pieces["source"].alias("p_source"), F.col("piece").alias("p_piece"), "offset", "source_size", "target")
-    within = W.partitionBy("source", "piece").orderBy("key", "doc_id", "size", *extra).rowsBetween(W.unboundedPreceding, -1)
+def _positions(documents: DataFrame, weights, share, epochs, payload=()) -> DataFrame:
+    """The documents with size, their source's size and target, and the source's words before them in shuffled order.
+
+    The running sum and the pieces' offsets use one partitioning, by (source, piece).
+    """
+    d = documents.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    d = d.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    if payload:
+        d = d.withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    d = d.select("doc_id", "source", "size", "key", *(["digest"] if payload else []), *payload)
+    d = d.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("piece", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
+    pieces = d.groupBy("skey", "piece").agg(F.sum("size").alias("piece_size"))
+    sources = pieces.groupBy("skey").agg(F.sum("piece_size").alias("source_size")).withColumn("source", F.when(F.col("skey") != "n", F.substring("skey", 2, 2**31 - 1)))
+    goal = targets(sources, weights, share, epochs).select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), "source_size", "target")
+    running = W.partitionBy("skey").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    pieces = pieces.withColumn("offset", F.coalesce(F.sum("piece_size").over(running), F.lit(0))).join(goal, "skey").select("skey", "piece", "offset", "source_size", "target")
+    within = W.partitionBy("skey", "piece").orderBy("key", "doc_id", "size", *(["digest"] if payload else [])).rowsBetween(W.unboundedPreceding, -1)
     d = d.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    d = d.join(pieces, d["source"].eqNullSafe(F.col("p_source")) & (d["piece"] == F.col("p_piece")))
-    return d.withColumn("before", F.col("offset") + F.col("inside"))
+    return d.join(pieces, ["skey", "piece"]).withColumn("before", F.col("offset") + F.col("inside"))
 
 
 def _taken(epochs: int):
@@ -80,15 +87,18 @@ def mixture(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs:
     return d.select("doc_id", "size", "source_size", "target", _taken(epochs).alias("taken"), finish.alias("finish"))
 
 
-def schedule(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """The mix itself: the documents' columns, ``epoch``, ``finish`` and ``words`` (taken in that
-    epoch; less than the size only where the budget cuts the document), in order of finish."""
-    taken = _positions(documents, weights, share, epochs, extra=[F.md5(F.coalesce("text", F.lit(""))).alias("digest")])
-    per = taken.select("doc_id", "source", "size", "digest", "before", "source_size", "target", F.explode(F.array(*map(F.lit, range(epochs)))).alias("epoch"))
+def mix_documents(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+    """The mix itself, range-sorted by virtual finish time: a document once for each epoch in which it is
+    taken; ``words`` is less than its size only where the budget cuts the text, which then ends there."""
+    rest = [c for c in documents.columns if c not in ("doc_id", "source", "text", "n_chars", "size", "key", "digest", "skey", "piece", "inside", "offset", "source_size", "target", "before", "epoch", "finish", "words")]
+    d = _positions(documents, weights, share, epochs, ["text", *rest])
+    d = d.withColumn("epoch", F.explode(F.array(*map(F.lit, range(epochs)))))
     start = F.col("before") + F.col("source_size") * F.col("epoch")
-    words = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - start))
-    per = per.withColumn("words", words.cast("long")).withColumn("finish", (start + F.col("words")) / F.col("target")).where("words > 0")
-    return per.select("doc_id", "source", "digest", "epoch", "finish", "words").orderBy("finish", "source", "doc_id", "digest")
+    d = d.withColumn("words", F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - start)).cast("long")).where("words > 0")
+    d = d.withColumn("finish", (start + F.col("words")) / F.col("target"))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
+    d = d.withColumn("text", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text")))
+    return d.select("doc_id", "source", "epoch", "finish", "words", "text", *rest, F.length("text").cast("long").alias("n_chars")).orderBy("finish", "source", "doc_id", "epoch")
 
 
 ORACLE = r"""

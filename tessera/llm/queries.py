@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, lm_score, mixing, pii, quality, substring_dedup, toxicity, url_filter
+from . import decontaminate, embedding_dedup, lm_score, mixing, near_dedup, pii, quality, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_lm_scoring(spark, sf_dir):
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
+
+
 def op7_embedding_near_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
