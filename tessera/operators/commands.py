@@ -270,7 +270,7 @@ def keyness(low: Lowering, focus: Matches, reference: Matches | None, attr: str,
         both = both.join(F.broadcast(stopwords(low, attr, settings.stoplist)), "word", "left_anti")
     g2 = measures.keyness(F.col("focus_freq"), F.col("ref_freq"), F.col("n1"), F.col("n2"))
     out = both.crossJoin(F.broadcast(sizes)).where(F.col("focus_freq") + F.col("ref_freq") >= settings.min_freq).withColumn("g2", g2)
-    out = out.select("word", "focus_freq", "ref_freq", F.round("g2", 2).alias("keyness"), F.when(F.col("g2") < 0, "-").otherwise("+").alias("effect"), "g2").orderBy(F.desc("g2"), F.desc("focus_freq"), "word").drop("g2")
+    out = out.select("word", "focus_freq", "ref_freq", (F.round("g2", 2) + 0.0).alias("keyness"), F.when(F.col("g2") < 0, "-").otherwise("+").alias("effect"), "g2").orderBy(F.desc("g2"), F.desc("focus_freq"), "word").drop("g2")
     return out.limit(settings.max_items) if settings.max_items else out
 
 

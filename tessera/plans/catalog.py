@@ -107,7 +107,7 @@ def _pos(where: str, source: str = "t") -> str:
 # ---- token predicates
 add("count_by_region", '[form="the"]; count by text_lang', _count("form = 'the'"))
 add("match_all", "[]; count by text_source", _count("true", "source"))
-add("eq_number", "[nvals(domain) = 2]; size" if False else '[lemma="a" | lemma="la"]; count by lemma', _count("lemma in ('a', 'la')", "lemma"))
+add("eq_or", '[lemma="a" | lemma="la"]; count by lemma', _count("lemma in ('a', 'la')", "lemma"))
 add("neq", '[upos!="NOUN"]; count by upos', _count("upos <> 'NOUN'", "upos"))
 add("string_order", '[lemma >= "x" & lemma < "z"]', _pos("lemma >= 'x' and lemma < 'z'"), extents=True)
 add("regex_sub", "[form=/tion[a-m]/]", _pos("regexp_matches(form, 'tion[a-m]')"), extents=True)
@@ -123,7 +123,6 @@ add("region_attr_regex", '[text_source=/src1/ & form="the"]; count by text_sourc
 add("nested_region_attr", '[node_type="VP" & form="the"]', "select distinct pos as lo, pos as hi from t join node on pos between start_pos and end_pos where type = 'VP' and form = 'the'", _NODE, extents=True)
 add("nvals", '[nvals(text_domain) = 2 & nvals(node_type) = 3 & lemma="is"]; count by text_lang', _count("lemma = 'is'"))
 add("and_or", '[(upos="VERB" | upos="ADV") & text_lang="en"]; count by upos', _count("upos in ('VERB', 'ADV') and lang = 'en'", "upos"))
-add("bare_word", '"la"; count by text_lang', _count("form = 'la'"))
 add("child", '[upos="VERB" & child [upos="ADV"]]', _pos("upos = 'VERB' and exists (select 1 from t b where b.head_pos = t.pos and b.upos = 'ADV')"), extents=True)
 add("not_child", '[upos="VERB" & not child [upos="NOUN"]]', _pos("upos = 'VERB' and not exists (select 1 from t b where b.head_pos = t.pos and b.upos = 'NOUN')"), extents=True)
 add("parent", '[lemma="the" & parent [upos="VERB"]]', "select a.pos as lo, a.pos as hi from t a join t b on a.head_pos = b.pos where a.lemma = 'the' and b.upos = 'VERB'", extents=True)
@@ -139,8 +138,9 @@ add("seq2", '[upos="DET"] [upos="ADV"]', "select a.pos as lo, b.pos as hi from t
 add("seq3", 'a:[upos="ADV"] b:[] c:[upos="ADV"]; count by b.upos', "select b.upos as key, count(*) as count, round(count(*) * 100.0 / sum(count(*)) over (), 6) as pct from t a join t b on b.pos = a.pos + 1 join t c on c.pos = b.pos + 1 where a.upos = 'ADV' and c.upos = 'ADV' group by 1")
 _RUNS = ", runs as (select text_idx, min(pos) as first, count(*) as n from (select text_idx, pos, pos - row_number() over (partition by text_idx order by pos) as g from t where {}) group by text_idx, g)"
 add("run_max", '[upos="VERB"]{2,4}', "select first + k * 4 as lo, first + k * 4 + least(4, n - k * 4) - 1 as hi from (select *, unnest(range((n - 1) // 4 + 1)) as k from runs) where least(4, n - k * 4) >= 2", _RUNS.format("upos = 'VERB'"), extents=True)
-add("run_unbounded", "[form=/^[a-z]+$/]+; count by tcnt(match)" if False else '[upos="NOUN"]+', "select first + k * 100 as lo, first + k * 100 + least(100, n - k * 100) - 1 as hi from (select *, unnest(range((n - 1) // 100 + 1)) as k from runs)", _RUNS.format("upos = 'NOUN'"), extents=True)
-add("chain_rep", '[lemma="the"] [upos="ADV"]{1,3} [upos="VERB"]', "select a.pos as lo, a.pos + k + 1 as hi from t a, (values (1), (2), (3)) x(k), t z where a.lemma = 'the' and z.pos = a.pos + k + 1 and z.upos = 'VERB' and (select count(*) from t b where b.pos > a.pos and b.pos <= a.pos + k and b.upos = 'ADV') = k" if False else "select a.pos as lo, z.pos as hi from t a join t b on b.pos = a.pos + 1 left join t c on c.pos = a.pos + 2 left join t d on d.pos = a.pos + 3 join t z on z.pos in (a.pos + 2, a.pos + 3, a.pos + 4) and z.text_idx = a.text_idx where a.lemma = 'the' and b.upos = 'ADV' and z.upos = 'VERB' and (z.pos < a.pos + 3 or c.upos = 'ADV') and (z.pos < a.pos + 4 or d.upos = 'ADV')", extents=True)
+add("bare_word", '"la"; count by text_lang', "select lang as key, count(*) as count, round(count(*) * 100.0 / sum(count(*)) over (), 6) as pct from runs join d on doc_id = text_idx group by lang", _RUNS.format("form = 'la'"))
+add("run_unbounded", '[upos="NOUN"]+', "select first + k * 100 as lo, first + k * 100 + least(100, n - k * 100) - 1 as hi from (select *, unnest(range((n - 1) // 100 + 1)) as k from runs)", _RUNS.format("upos = 'NOUN'"), extents=True)
+add("chain_rep", '[lemma="the"] [upos="ADV"]{1,3} [upos="VERB"]', "select a.pos as lo, z.pos as hi from t a join t b on b.pos = a.pos + 1 left join t c on c.pos = a.pos + 2 left join t d on d.pos = a.pos + 3 join t z on z.pos in (a.pos + 2, a.pos + 3, a.pos + 4) and z.text_idx = a.text_idx where a.lemma = 'the' and b.upos = 'ADV' and z.upos = 'VERB' and (z.pos < a.pos + 3 or c.upos = 'ADV') and (z.pos < a.pos + 4 or d.upos = 'ADV')", extents=True)
 add("optional", '[lemma="the"] [upos="ADV"]? [upos="VERB"]', "select a.pos as lo, b.pos as hi from t a join t b on b.pos = a.pos + 1 where a.lemma = 'the' and b.upos = 'VERB' union all select a.pos, c.pos from t a join t b on b.pos = a.pos + 1 join t c on c.pos = a.pos + 2 where a.lemma = 'the' and b.upos = 'ADV' and c.upos = 'VERB'", extents=True)
 add("within_s", '[upos="ADV"] [upos="ADV"] within s', "select a.pos as lo, b.pos as hi from t a join t b on b.pos = a.pos + 1 and a.s_idx = b.s_idx where a.upos = 'ADV' and b.upos = 'ADV'", extents=True)
 add("default_within", '[upos="ADV"] [upos="ADV"]; size', "select count(*) as size from t a join t b on b.pos = a.pos + 1 and a.s_idx = b.s_idx where a.upos = 'ADV' and b.upos = 'ADV'", within="s")
@@ -162,7 +162,7 @@ add("gov_trans_by", '[upos="ADV"] << [lemma="the"]', "select up as lo, down as h
 add("not_gov", '[upos="ADV"] !> [upos="NOUN"]', _pos("upos = 'ADV' and not exists (select 1 from t b where b.head_pos = t.pos and b.upos = 'NOUN')"), extents=True)
 add("not_gov_by", '[upos="ADV"] !< [upos="NOUN"]', _pos("upos = 'ADV' and not exists (select 1 from t b where t.head_pos = b.pos and b.upos = 'NOUN')"), extents=True)
 add("dep_subtree_tcnt", 'h:[upos="ADV"] s:dep_subtree(h); count by tcnt(s)', _count("upos = 'ADV'", "(ndesc + 1)::varchar"))
-add("dep_subtree_named", 'Q = [lemma="was"]; s:dep_subtree(Q); tabulate 0 0 spellout(s, form)', "select min(down) as lo, max(down) as hi, array_to_string(list_transform(list_zip(list(down order by down), list(form order by down), [null] || list(down order by down)), lambda x: case when x[3] is null then x[2] when x[1] = x[3] + 1 then ' ' || x[2] else ' ... ' || x[2] end), '') as field1 from (select up, down from below union all select pos, pos from t) join t a on a.pos = up join t b on b.pos = down where a.lemma = 'was' group by up" if False else "select min(down) as lo, max(down) as hi, string_agg(piece, '' order by down) as field1 from (select up, down, case when lag(down) over w is null then b.form when lag(down) over w = down - 1 then ' ' || b.form else ' ... ' || b.form end as piece from (select up, down from below union all select pos, pos from t) x join t a on a.pos = x.up join t b on b.pos = x.down where a.lemma = 'was' window w as (partition by up order by down)) group by up", _BELOW)
+add("dep_subtree_named", 'Q = [lemma="was"]; s:dep_subtree(Q); tabulate 0 0 spellout(s, form)', "select min(down) as lo, max(down) as hi, string_agg(piece, '' order by down) as field1 from (select up, down, case when lag(down) over w is null then b.form when lag(down) over w = down - 1 then ' ' || b.form else ' ... ' || b.form end as piece from (select up, down from below union all select pos, pos from t) x join t a on a.pos = x.up join t b on b.pos = x.down where a.lemma = 'was' window w as (partition by up order by down)) group by up", _BELOW)
 
 # ---- regions, anchors, groups
 add("region_enum", '<node type="VP"> :: match.text_lang = "es"', "select start_pos as lo, end_pos as hi from node join d on d.doc_id = text_idx where type = 'VP' and lang = 'es'", _NODE, extents=True)
@@ -214,7 +214,7 @@ add("coll_stoplist", '[upos="ADV"]; coll by lemma', _COLL.format(_DICE, a="lemma
 add("dcoll", '[upos="ADV"]; dcoll children by lemma', _COLL.format(_DICE, a="lemma", nodes="select pos from t where upos = 'ADV'", on="b.head_pos = m.pos"))
 add("dcoll_head_deprel", '[upos="ADV"]; dcoll head, nsubj by lemma', _COLL.format(_DICE, a="lemma", nodes="select h.pos as at from t join t h on t.head_pos = h.pos where t.upos = 'ADV' union all select c.pos from t join t c on c.head_pos = t.pos where t.upos = 'ADV' and c.deprel = 'nsubj'", on="b.pos = m.at"))
 add("dcoll_descendants", '[lemma="was"]; dcoll descendants by lemma', _COLL.format(_DICE, a="lemma", nodes="select down as at from below join t on t.pos = up where lemma = 'was'", on="b.pos = m.at"), _BELOW)
-_KEY = """select word, focus_freq, ref_freq, round(g2, 2) as keyness, case when g2 < 0 then '-' else '+' end as effect from (
+_KEY = """select word, focus_freq, ref_freq, round(g2, 2) + 0.0 as keyness, case when g2 < 0 then '-' else '+' end as effect from (
   select *, (case when a < n1 * (a + b) / (n1 + n2) then -1 else 1 end) * 2 * (case when a > 0 then a * ln(a / (n1 * (a + b) / (n1 + n2))) else 0 end + case when b > 0 then b * ln(b / (n2 * (a + b) / (n1 + n2))) else 0 end) as g2
   from (select word, f as focus_freq, r as ref_freq, f::double as a, r::double as b, (sum(f) over ())::double as n1, {n2} as n2 from ({words}))) where focus_freq + ref_freq >= 5{more}"""
 add("keyness_rest", '[text_lang="fr"]; keyness by lemma', _KEY.format(n2="(select count(*) from t where lang <> 'fr')::double", words="select lemma as word, count(*) filter (lang = 'fr') as f, count(*) filter (lang <> 'fr') as r from t group by lemma having count(*) filter (lang = 'fr') > 0", more=""))
