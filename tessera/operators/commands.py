@@ -41,7 +41,7 @@ def stretch_values(low: Lowering, m: Matches, label: str, attr: str) -> tuple[Ma
     row, v = fresh("row"), fresh("v")
     kind, i, _ = low.label(m, label)
     places = F.col(f"sub{i}") if kind == "subtree" else F.col("members") if kind == "group" else F.sequence(*low.extent(m, label))
-    # keyed by the places themselves, which say what the value is; rows aren't numbered
+    # keyed by the places themselves, which say what the value is: rows needn't be numbered
     df = m.df.withColumn(row, places)
     each = df.select(row).distinct().withColumn("p", F.explode(row)).join(low.t.select(F.col("pos").alias("p"), F.col(f"`{attr}`").alias("a")), "p")
     parts = each.groupBy(row).agg(F.array_sort(F.collect_list(F.struct("p", "a"))).alias("x"))

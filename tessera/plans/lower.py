@@ -40,9 +40,6 @@ class Matches:
     group: str = ""
     target: Matches | None = None
 
-    def __post_init__(self):
-        self.df = self.df
-
 
 @dataclass
 class Options:
@@ -544,8 +541,6 @@ class Lowering:
             hits = self.filtered(s.having)
             hits = hits.select(F.col(f"{s.region}_idx").alias("region_idx")) if self.c.flat(s.region) else self.c.cover(s.region).join(hits.select("pos"), "pos", "left_semi").select("region_idx")
             rows = rows.join(hits.distinct(), "region_idx", "left_semi")
-        if not s.negated and s.test is None and s.having is None and self.c.flat(s.region) and "r0" not in m.df.columns:
-            pass  # slots were joined within the scope; the first must lie in one, and the last with it
         return replace(m, df=m.df.join(self.inside(m.df, s.region, rows), ["lo", "hi"], "left_anti" if s.negated else "left_semi"))
 
     def contained(self, m: Matches, c: Containing) -> Matches:
