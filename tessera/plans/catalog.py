@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from ..sources.corpus import Corpus
 from .lower import Options
 from .session import Session
 
-_built: dict[tuple, str] = {}
+_built: dict[tuple, Corpus] = {}
 
 
 def corpus(spark, sf_dir: str, kind: str = "documents") -> Corpus:
@@ -28,8 +29,8 @@ def corpus(spark, sf_dir: str, kind: str = "documents") -> Corpus:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpus-")
         path = f"{folder}/corpus-{uuid.uuid4().hex}"
         getattr(tables, f"{kind}_corpus")(spark, sf_dir).save(path)
-        _built[key] = path
-    return Corpus.open(spark, _built[key])
+        _built[key] = Corpus.open(spark, path)
+    return replace(_built[key])
 
 
 def session(spark, sf_dir: str, kind: str = "documents", **settings) -> Session:
