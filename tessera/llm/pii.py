@@ -4,7 +4,8 @@ Base kinds (always kept when their own check passes): email, ip (parts at most 2
 (16 to 19 digits, Luhn), phone (international, 8 to 15 digits). Added kinds are proposed by a
 pattern with a prior score; a passed checksum raises it, a context word within
 ``CONTEXT`` characters raises it, and ``ACCEPT`` decides: iban (mod 97), ssn, local phone
-numbers and quoted credentials. Added spans never overlap a span already accepted.
+numbers and credentials of any length, with dots inside. Added spans never overlap a span already accepted;
+a credential that does is cut into what lies around that span.
 
 A text is scanned in time linear in its length: patterns have no ambiguous repeats, and the
 left part of an address is found from its ``@``. A map over the documents, nothing is shuffled.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])")
-_CREDENTIAL = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9_/+=-]{12,512})")
+_CREDENTIAL = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key)\s{0,4}[=:]\s{0,4}[\"']?(?=(?:[A-Za-z0-9_/+=-]|\.(?=[A-Za-z0-9_/+=-])){12})([A-Za-z0-9_/+=-]++(?:\.[A-Za-z0-9_/+=-]++)*+)")
 #: kind: pattern, prior score, words that raise it, what they add
 PROPOSALS = {
     "iban": (_IBAN, 0.3, re.compile(r"(?i)\b(?:iban|account|konto|compte|cuenta)\b"), 0.2),
@@ -113,9 +115,17 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
                 have += 0.5
             if words is not None and words.search(text, max(0, s - CONTEXT), min(len(text), e + CONTEXT)):
                 have += more
-            if have >= ACCEPT and not any(a < e and s < b for a, b in taken):
-                out.append((kind, s, e))
-                taken.append((s, e))
+            if have < ACCEPT:
+                continue
+            over = sorted((a, b) for a, b in taken if a < e and s < b)
+            if not over:
+                pieces = [(s, e)]
+            elif kind == "credential":  # a secret is taken whole: what the spans inside it leave of it
+                pieces = [(x, y) for x, y in zip([s, *accumulate((b for _, b in over), max)], [*(a for a, _ in over), e]) if x < y]
+            else:
+                continue
+            out += [(kind, x, y) for x, y in pieces]
+            taken += pieces
     return out
 
 

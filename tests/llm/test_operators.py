@@ -256,6 +256,14 @@ def test_embeddings_empty(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_whole_credentials():
+    key = "Ab1/+_-" * 1000
+    assert pii.masked(f"token={key} end") == "token=[CREDENTIAL] end"
+    assert pii.masked("token: eyJhbGciOiJI.eyJzdWIiOiIx-_.SflKxwRJSMeK. Then") == "token: [CREDENTIAL]. Then"
+    assert pii.masked("secret=" + "x" * 600 + "+12345678901+" + "y" * 600) == "secret=[CREDENTIAL][PHONE][CREDENTIAL]"
+    assert pii.masked("secret = short.") == "secret = short." and pii.masked("secret = elevenchars.") == "secret = elevenchars."
+
+
 # ---- 6 near copies
 
 
