@@ -322,6 +322,21 @@ def test_near_copies_edges(spark, docs, empty):
     assert near_dedup.bandings(0.7, 4.0)[0][0] >= 8 and all((1 - (0.7 / (1 + min(near_dedup.STEP ** (d + 1), 4) - 0.7)) ** r) ** b <= near_dedup.MISS for d, (b, r) in enumerate(near_dedup.bandings(0.7, 4.0)))
 
 
+def test_prefilter_loses_next_to_nothing():
+    for thousandths in (163, 200, 408, 538):
+        p, least = thousandths / 1000, int(near_dedup.AGREE[thousandths])
+        assert sum(math.comb(near_dedup.VALUES, k) * p**k * (1 - p) ** (near_dedup.VALUES - k) for k in range(least)) <= 1e-6
+    plan = near_dedup.bandings(0.7, 4.0)
+    n = len(near_dedup.slots_of(plan))
+    keys = np.arange(n) << 40  # shared in slot 0, in slot 1 alike in the low 16 bits only
+    other = keys + (1 << 39) + (1 << 20)
+    other[0] = keys[0]
+    sizes = np.full(n, 2)
+    sizes[1] = 64
+    rows = near_dedup.pack_marks([np.arange(n)] * 2, [keys, other], [sizes] * 2, n)
+    assert near_dedup.Marks(rows, plan).slot(np.array([0]), np.array([1]), np.array([0])).tolist() == [0]
+
+
 # ---- 2, 4, 5: learnt operators
 
 
