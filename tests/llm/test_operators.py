@@ -337,6 +337,14 @@ def test_prefilter_loses_next_to_nothing():
     assert near_dedup.Marks(rows, plan).slot(np.array([0]), np.array([1]), np.array([0])).tolist() == [0]
 
 
+def test_held_components(spark):
+    r = random.Random(11)
+    held = prose(100, r)
+    near = " ".join(held.split()[:-4]) + " " + prose(4, r)
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate([held, near, held + " " + prose(120, r)])), "doc_id long, text string")).collect()
+    assert {x.group_id for x in got} == {2} and [x.doc_id for x in got if x.kept] == [2]
+
+
 # ---- 2, 4, 5: learnt operators
 
 
