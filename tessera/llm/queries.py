@@ -27,7 +27,7 @@ def op5_lm_scoring(spark, sf_dir):
 
 
 def op6_minhash_near_dedup(spark, sf_dir):
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), far=True).drop("digest")
 
 
 def op7_embedding_near_dedup(spark, sf_dir):

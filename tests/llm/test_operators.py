@@ -345,6 +345,18 @@ def test_held_components(spark):
     assert {x.group_id for x in got} == {2} and [x.doc_id for x in got if x.kept] == [2]
 
 
+def test_links_of_any_ratio(spark):
+    r = random.Random(12)
+    long, parts = [prose(1500, r) for _ in range(2)], [prose(n, r) for n in (3, 12, 26, 60, 200)]
+    texts = [long[0] + " " + " ".join(parts), long[1] + " " + parts[1] + " " + parts[4], *parts, edited(parts[4], 0.04, r), prose(30, r)]
+    sets = [shingles(t) for t in texts]
+    want = [sum(i != j and len(a & b) >= 0.7 * min(len(a), len(b)) - 1e-9 for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    df = spark.createDataFrame([*enumerate(texts), (2, texts[2]), (0, texts[0])], "doc_id long, text string")
+    got = {x.doc_id: x for x in near_dedup.near_duplicates(df, far=True).collect()}
+    assert [got[i].n_links for i in range(len(texts))] == want and sum(want) >= 14
+    assert {i for i, x in got.items() if x.kept} == {0, 1, 8}
+
+
 # ---- 2, 4, 5: learnt operators
 
 
