@@ -1,4 +1,4 @@
-"""Corpora derived from plain tables of texts, by built-in expressions only (one scan, no shuffle).
+"""Corpora derived from plain tables of texts, by built-in expressions only (one scan, no shuffle; conversations of 1,024 turns and more are sorted).
 
 Positions are sparse: ``doc_id * 2^24 + i``. They keep the order of texts and tokens, need no
 running sum over the corpus, and leave a gap between texts, so that no sequence crosses one.
@@ -6,6 +6,8 @@ running sum over the corpus, and leave a gap between texts, so that no sequence
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from .corpus import Corpus
 
 TEXT_BITS, BLOCK = 24, 20
 SENTENCE_BITS = 20
+TURNS = 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEPRELS = ("root", "nsubj", "obj", "det")
 
@@ -74,7 +77,30 @@ def documents_corpus(spark, sf_dir: str) -> Corpus:
     return c
 
 
+def turn_numbers(turns: DataFrame) -> DataFrame:
+    """The turns with their text number ``key``: ``conv_id * 1024 + turn`` where all of them fit there, or else dense numbers in
+    the order of (conv_id, turn), so that no conversation, however long, reaches into the next one's."""
+    turns = turns.where("conv_id is not null and turn is not null")
+    most = turns.agg(F.min("turn"), F.max("turn"), F.max(F.abs("conv_id"))).first()
+    if most[0] is None or 0 <= most[0] and most[1] < TURNS and most[2] < 1 << 62 - TEXT_BITS - 10:
+        return turns.withColumn("key", F.col("conv_id") * TURNS + F.col("turn"))
+    spark = turns.sparkSession
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    rows = turns.withColumn("_tie", F.xxhash64("role", "text"))  # spreads the rows of one turn; equal rows are told apart by their place
+    rows = rows.repartitionByRange("conv_id", "turn", "_tie").sortWithinPartitions("conv_id", "turn", "_tie").withColumn("_id", F.monotonically_increasing_id()).checkpoint(True)
+    part = F.shiftright("_id", 33)
+    sizes = sorted(rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    first, starts = 0, []
+    for r in sizes:
+        starts.append((r.part, first))
+        first += r.n
+    starts = spark.createDataFrame(starts, "part long, first long")
+    return rows.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("key", F.col("first") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("part", "first", "_id", "_tie")
+
+
 def conversations_corpus(spark, sf_dir: str) -> Corpus:
     """conversations as a corpus of turns, aligned by text_tuid (the conversation)."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return from_texts(turns, F.col("conv_id") * 1024 + F.col("turn"), {"tuid": F.col("conv_id"), "role": F.col("role"), "turn": F.col("turn")})
+    turns = turn_numbers(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return from_texts(turns, F.col("key"), {"tuid": F.col("conv_id"), "role": F.col("role"), "turn": F.col("turn")})

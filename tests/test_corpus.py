@@ -9,7 +9,7 @@ from tessera.operators import commands
 from tessera.operators.commands import Settings
 from tessera.plans.language import QueryError
 from tessera.plans.session import Session
-from tessera.sources import readers
+from tessera.sources import readers, tables
 from tessera.sources.build import mode_of, tree_numbers, with_parents, with_tree
 from tessera.sources.corpus import Corpus
 
@@ -157,3 +157,17 @@ def test_session(mv6):
         mv6.run('[nothing="x"]')
     with pytest.raises(QueryError):
         mv6.run('a:[] a:[form="x"]')
+
+
+def test_long_conversations(spark, tmp_path):
+    """Turns of 1,024 and more don't reach into the next conversation."""
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"w{k} one") for k in range(1100)] + [(2, k, "assistant", f"v{k} two three") for k in range(100)] + [(3, 0, "user", "x"), (3, 0, "user", "x"), (None, 1, "user", "y")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5).write.parquet(str(tmp_path / "conversations.parquet"))
+    c = tables.conversations_corpus(spark, str(tmp_path))
+    texts = c.regions["text"].orderBy("region_idx").collect()
+    assert [(int(r.tuid), int(r.turn)) for r in texts] == sorted(r[:2] for r in rows if r[0] is not None)
+    assert len({r.text_idx for r in texts}) == len(texts) == 1202
+    own = {r.text_idx: r.tuid for r in texts}
+    tokens = c.tokens.select("pos", "text_idx", "form").collect()
+    assert len({r.pos for r in tokens}) == len(tokens) == 1100 * 2 + 100 * 3 + 2
+    assert all(own[r.text_idx] == "1" for r in tokens if r.form == "one") and all(own[r.text_idx] == "2" for r in tokens if r.form == "two")
