@@ -357,6 +357,14 @@ def test_links_of_any_ratio(spark):
     assert {i for i, x in got.items() if x.kept} == {0, 1, 8}
 
 
+def test_one_row_of_repeated_ids(spark):
+    r = random.Random(13)
+    t, u = prose(100, r), prose(90, r)
+    rows = [(1, t, "a"), (1, t, "b"), (1, t + " one more", "c"), (1, u, "d"), (None, prose(50, r), "e"), (2, t, "f")]
+    kept = near_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(kept) == 3 and {x.lang for x in kept} >= {"d", "e"} and all(x.doc_id == 1 for x in kept if x.lang != "e")
+
+
 # ---- 2, 4, 5: learnt operators
 
 
