@@ -7,7 +7,8 @@ counts are sufficient for the model: log p(s | h) = q_s . (C r_h) + b_s - log Z_
 to the corpus counts and noise from the unigram distribution. The conditional table comes
 from batched matrix products with an explicit softmax over all symbols, so probabilities
 are normalised; inside a class a word has (c + 1) / (sum of c + number of words + 1), as
-in the base score, which leaves room for unseen words. Pair counts are bounded by (symbols + 1) squared.
+in the base score, which leaves room for unseen words. Pair counts are bounded by (symbols + 1) squared
+and the draws by a constant, so the model doesn't grow with the corpus: a limitation, see README.
 
 Scoring keeps the ``FREQUENT`` most frequent words with their counts in every task (two
 arrays of that length); occurrences of others are pre-aggregated by document and joined
