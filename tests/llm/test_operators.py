@@ -441,3 +441,20 @@ def test_lm_is_normalised():
     assert np.allclose(np.exp(table).sum(axis=1), 1)
     uniform = np.abs(pairs[:, :] * np.log(1 / 12)).sum()
     assert -(pairs * table).sum() < uniform
+
+
+@pytest.mark.parametrize("most,chunk", [(0, 1024), (0, 2), (1 << 22, 1024)])
+def test_far_links_both_ways(spark, monkeypatch, most, chunk):
+    monkeypatch.setattr(near_dedup, "BROADCAST_MOST", most)
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+    r = random.Random(21)
+    shared = [prose(n, r) for n in (12, 40, 70)]
+    texts = [edited(shared[k % 3], 0.02 * (k % 4), r) for k in range(24)] + [prose(r.randint(30, 400), r) + " " + shared[k % 3] + " " + prose(r.randint(30, 200), r) for k in range(30)]
+    sets = [shingles(t) for t in texts]
+    df = spark.createDataFrame([*enumerate(texts), *((100 + i, t) for i, t in enumerate(texts[::5]))], "doc_id long, text string").repartition(5)
+    got = {x.doc_id: x for x in near_dedup.near_duplicates(df, far=True).collect()}
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}
+    distinct = sorted(first.values())
+    want = {i: sum(i != j and len(sets[i] & sets[j]) >= 0.7 * min(len(sets[i]), len(sets[j])) - 1e-9 for j in distinct) for i in distinct}
+    assert {i: got[i].n_links for i in distinct} == want and sum(want.values()) > 200
+    assert all(got[100 + k].n_links == want[first[t]] and got[100 + k].class_id == first[t] for k, t in enumerate(texts[::5]))
