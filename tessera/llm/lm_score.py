@@ -1,14 +1,17 @@
 """LM scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-Passes over the corpus: (1) counts of all words of the training documents; (2) counts of
-all pairs of neighbouring symbols, a symbol being one of the ``SHORTLIST`` most frequent words or the class
-of a rarer word (``CLASSES`` classes by a hash of its last two bytes); (3) scores. Pair
-counts are sufficient for the model: log p(s | h) = q_s . (C r_h) + b_s - log Z_h. Training in numpy draws pairs in proportion
-to the corpus counts and noise from the unigram distribution. The conditional table comes
-from batched matrix products with an explicit softmax over all symbols, so probabilities
-are normalised; inside a class a word has (c + 1) / (sum of c + number of words + 1), as
-in the base score, which leaves room for unseen words. Pair counts are bounded by (symbols + 1) squared
-and the draws by a constant, so the model doesn't grow with the corpus: a limitation, see README.
+Symbols are the ``SYMBOLS`` x sqrt(V) most frequent of the V distinct training words, and for all rarer words 64 classes by a
+hash of a word's last two bytes. The model predicts a symbol from the ``CONTEXT`` symbols before it:
+h = sum over k of r[context k] . C_k, score(s | h) = q_s . h + b_s. For a cheap exact normalisation symbols are binned by
+frequency (about sqrt of them, bins of equal mass of square roots of counts): p(s | h) = softmax over bins . softmax inside the bin, both by
+batched matrix products. Inside a class a rare word has (c + 1) / (sum of c + number of words + 1), as in the base
+score, which leaves room for unseen words.
+
+Training is distributed and sees every training token: in each of ``ROUNDS`` rounds each task runs noise-contrastive
+estimation over the windows of its own documents, in batches of at most ``PENDING`` tokens, from the shared
+parameters, and sends the changes of the rows that it has touched; those are averaged, weighted by how often
+each task has met the row. So vocabulary, windows and what is gathered all grow with the corpus; a task
+holds the parameters (4 x ``DIMENSIONS`` x symbols numbers, about the square root of the vocabulary), never counts of pairs.
 
 Scoring keeps the ``FREQUENT`` most frequent words with their counts in every task (two
 arrays of that length); occurrences of others are pre-aggregated by document and joined
@@ -31,17 +34,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _VALUES, LOWER, blocks, checkpoint, fold_of, mix, nonspace_class, word_bounds, word_hashes
+from .common import _VALUES, LOWER, blocks, checkpoint, fold, mix, nonspace_class, word_bounds, word_hashes
 
 FOLDS = 7
 HELD = 2
-SHORTLIST = 960
+SYMBOLS = 8
 CLASSES = 64
 FREQUENT = 1 << 18
-DIMENSIONS = 48
+DIMENSIONS = 32
+CONTEXT = 3
+NOISE = 64
+BATCH = 2048
+ROUNDS = 1
+#: Steps that a task makes in a round at least, by passing over its windows again (small corpora).
+LEAST_STEPS = 1000
+RATE = 0.1
 LUT = nonspace_class()
 END = 64 << 6  # key of the end token; words' keys are made different from it
 PENDING = 1 << 22
+#: Rows of parameters that travel together.
+GROUP = 256
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -66,21 +78,15 @@ def class_of(key: np.ndarray) -> np.ndarray:
     return key & (CLASSES - 1)
 
 
-def training(ids: pa.Array) -> np.ndarray:
-    return np.array([x is not None and fold_of(x, FOLDS) != HELD for x in ids.to_pylist()], dtype=bool)
-
-
-def training_tokens(batches):
-    """(keys, bounds) of the training documents, block by block."""
+def token_blocks(batches):
+    """(keys, bounds) of all texts, block by block."""
     for batch in batches:
-        keep = training(batch.column(0))
-        if keep.any():
-            for _, _, data, offs in blocks(batch.column(1).filter(pa.array(keep))):
-                yield keys_of(data, offs)
+        for _, _, data, offs in blocks(batch.column(0)):
+            yield keys_of(data, offs)
 
 
-def word_counts(documents: DataFrame) -> DataFrame:
-    """(key, c) of the training documents; every task sends sums of what it has read."""
+def word_counts(training: DataFrame) -> DataFrame:
+    """(key, c) of the texts; every task sends sums of what it has read."""
 
     def run(batches):
         keys, counts, size = [], [], 0
@@ -90,7 +96,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
             c = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
             return k, c
 
-        for own, _ in training_tokens(batches):
+        for own, _ in token_blocks(batches):
             k, c = np.unique(own, return_counts=True)
             keys.append(k)
             counts.append(c)
@@ -107,11 +113,11 @@ def word_counts(documents: DataFrame) -> DataFrame:
             for at in range(0, len(k), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(k[at : at + (1 << 17)]), pa.array(c[at : at + (1 << 17)])], ["key", "c"])
 
-    return documents.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return training.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 class Symbols:
-    """Symbol numbers of keys: shortlist words by rank, then the classes; the last number marks a text's beginning."""
+    """Symbol numbers of keys: frequent words by rank, then the classes; the last number marks a text's beginning."""
 
     def __init__(self, shortlist: np.ndarray):
         self.order = np.argsort(shortlist)
@@ -127,128 +133,231 @@ class Symbols:
         return out
 
     def contexts(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        before = np.empty_like(symbols)
-        before[1:] = symbols[:-1]
-        before[bounds[:-1]] = self.n
-        return before
-
-
-def pair_counts(documents: DataFrame, symbols: Symbols) -> np.ndarray:
-    """Counts of (symbol before, symbol) over the training documents: (n + 1) x n."""
-
-    def run(batches):
-        total = np.zeros((symbols.n + 1) * symbols.n, dtype=np.int64)
-        for keys, bounds in training_tokens(batches):
-            s = symbols(keys)
-            total += np.bincount(symbols.contexts(s, bounds) * symbols.n + s, minlength=len(total))
-        some = np.flatnonzero(total)
-        for at in range(0, len(some), 1 << 17):
-            part = some[at : at + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["pair", "c"])
-
-    out = np.zeros((symbols.n + 1) * symbols.n, dtype=np.float64)
-    for batch in documents.mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow().to_batches():
-        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    return out.reshape(symbols.n + 1, symbols.n)
-
-
-def train(pairs: np.ndarray, dimensions: int = DIMENSIONS, steps: int = 1200, batch: int = 4096, noise: int = 256, seed: int = 7):
-    """Noise-contrastive estimation on pairs drawn in proportion to their counts.
-
-    Each step contrasts the batch's targets with shared noise symbols from the unigram
-    distribution; the odds are scaled as if every target had ``noise`` noise symbols of its own.
-    Returns the table of normalised natural log probabilities, contexts x symbols.
-    """
-    n_contexts, n = pairs.shape
-    unigram = pairs.sum(axis=0) + 1.0
-    unigram /= unigram.sum()
-    total = pairs.sum()
-    rng = np.random.default_rng(seed)
-    r = rng.normal(0, 0.1, (n_contexts, dimensions)).astype(np.float32)
-    q = rng.normal(0, 0.1, (n, dimensions)).astype(np.float32)
-    c = np.eye(dimensions, dtype=np.float32)
-    b = np.log(unigram).astype(np.float32)[:, None]
-    params = [r, q, c, b]
-    if total > 0:
-        flat = np.flatnonzero(pairs)
-        cumulative = np.cumsum(pairs.ravel()[flat])
-        log_noise = np.log(noise * unigram).astype(np.float32)
-        noise_cumulative = np.cumsum(unigram)
-        m, v = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
-        for t in range(1, steps + 1):
-            drawn = flat[np.searchsorted(cumulative, rng.random(batch) * cumulative[-1], side="right").clip(max=len(flat) - 1)]
-            ctx, tgt = drawn // n, drawn % n
-            neg = np.searchsorted(noise_cumulative, rng.random(noise)).clip(max=n - 1)
-            hidden = r[ctx] @ c
-            q_tgt, q_neg = q[tgt], q[neg]
-            pos = np.einsum("bd,bd->b", hidden, q_tgt) + b[tgt, 0] - log_noise[tgt]
-            other = hidden @ q_neg.T + (b[neg, 0] - log_noise[neg])
-            g_pos = (-1 / (1 + np.exp(np.clip(pos, -40, 40))) / batch)[:, None]
-            g_neg = 1 / (1 + np.exp(-np.clip(other, -40, 40))) / batch
-            g_hidden = g_pos * q_tgt + g_neg @ q_neg
-            both = np.concatenate((tgt, neg))
-            grads = (
-                scattered(ctx, g_hidden @ c.T, n_contexts),
-                scattered(both, np.concatenate((g_pos * hidden, g_neg.T @ hidden)), n),
-                r[ctx].T @ g_hidden,
-                scattered(both, np.concatenate((g_pos, g_neg.sum(axis=0)[:, None])), n),
-            )
-            rate = 0.03 * (1 - t / (steps + 1))
-            for k, g in enumerate(grads):
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.01 * (g * g - v[k])
-                params[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-10)).astype(np.float32)
-    return log_softmax((r @ c).astype(np.float64), q.astype(np.float64), b[:, 0].astype(np.float64))
-
-
-def scattered(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows by number."""
-    by = np.argsort(at, kind="stable")
-    s = at[by]
-    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    out = np.zeros((n, rows.shape[1]), dtype=np.float32)
-    out[s[first]] = np.add.reduceat(rows[by], first, axis=0)
+        """Tokens x CONTEXT: the symbols before each token, the nearest first."""
+        first = np.repeat(bounds[:-1], np.diff(bounds))
+        at = np.arange(len(symbols))
+        return np.stack([np.where(at - k >= first, symbols[np.maximum(at - k, 0)], self.n) for k in range(1, CONTEXT + 1)], axis=1)
+
+
+def bins_of(counts: np.ndarray) -> np.ndarray:
+    """The bin of each symbol: about sqrt(n) bins along falling counts, of equal sums of square roots of counts."""
+    n = len(counts)
+    order = np.argsort(-counts, kind="stable")
+    mass = np.cumsum(np.sqrt(counts[order] + 1.0))
+    k = int(np.ceil(np.sqrt(n)))
+    raw = np.minimum((mass - np.sqrt(counts[order] + 1.0)) / mass[-1] * k, k - 1).astype(np.int64)
+    out = np.empty(n, dtype=np.int64)
+    out[order] = np.unique(raw, return_inverse=True)[1]  # no empty bins
     return out
 
 
-def log_softmax(hidden: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty((len(hidden), len(q)))
-    for at in range(0, len(hidden), 256):
-        z = hidden[at : at + 256] @ q.T + b
-        z -= z.max(axis=1, keepdims=True)
-        out[at : at + 256] = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return out
+class Model:
+    """Parameters as rows: context vectors, target vectors with their bias, bin vectors with their bias, position matrices."""
+
+    def __init__(self, counts: np.ndarray, dimensions: int = DIMENSIONS, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        self.n, self.d = len(counts), dimensions
+        self.bins = bins_of(counts)
+        self.k = int(self.bins.max()) + 1
+        self.unigram = (counts + 1.0) / (counts + 1.0).sum()
+        self.bin_unigram = np.bincount(self.bins, weights=self.unigram)
+        normal = lambda n: rng.normal(0, 0.1, (n, dimensions)).astype(np.float32)
+        with_bias = lambda n, p: np.concatenate((normal(n), np.log(p).astype(np.float32)[:, None]), axis=1)
+        self.r, self.q, self.qb = normal(self.n + 1), with_bias(self.n, self.unigram), with_bias(self.k, self.bin_unigram)
+        self.c = np.stack([np.eye(dimensions, dtype=np.float32) / (k + 1) for k in range(CONTEXT)]).reshape(CONTEXT * dimensions, dimensions)
+        self.sums = [np.full(len(x), 1e-2, dtype=np.float32) for x in self.parts()]
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.r, self.q, self.qb, self.c]
+
+    def train(self, symbols: np.ndarray, contexts: np.ndarray, rng: np.random.Generator, touched: list[np.ndarray], batch: int = BATCH, noise: int = NOISE, rate: float = RATE) -> None:
+        """One pass of noise-contrastive estimation over the windows in random order; noise symbols are shared by a batch."""
+        noise_sum, bin_sum = np.cumsum(self.unigram), np.cumsum(self.bin_unigram)
+        log_noise, log_bin = np.log(noise * self.unigram).astype(np.float32), np.log(noise * self.bin_unigram).astype(np.float32)
+        order = rng.permutation(len(symbols))
+        d = self.d
+        for low in range(0, len(order), batch):
+            w = order[low : low + batch]
+            ctx, tgt = contexts[w], symbols[w]
+            rows = self.r[ctx.ravel()].reshape(len(w), CONTEXT * d)
+            hidden = rows @ self.c
+            g_hidden = np.zeros_like(hidden)
+            for which, (table, t, cumulative, log) in enumerate(((self.q, tgt, noise_sum, log_noise), (self.qb, self.bins[tgt], bin_sum, log_bin))):
+                neg = np.minimum(np.searchsorted(cumulative, rng.random(noise)), len(log) - 1)
+                own, other = table[t], table[neg]
+                pos = np.einsum("bd,bd->b", hidden, own[:, :d]) + own[:, d] - log[t]
+                odds = hidden @ other[:, :d].T + (other[:, d] - log[neg])
+                g_pos = (-1 / (1 + np.exp(np.clip(pos, -30, 30)))).astype(np.float32)[:, None]
+                g_neg = (1 / (1 + np.exp(-np.clip(odds, -30, 30)))).astype(np.float32)
+                g_hidden += g_pos * own[:, :d] + g_neg @ other[:, :d]
+                g = np.concatenate((np.concatenate((g_pos * hidden, g_pos), axis=1), np.concatenate((g_neg.T @ hidden, g_neg.sum(axis=0)[:, None]), axis=1)))
+                self.step(1 + which, np.concatenate((t, neg)), g, rate, touched)
+            g_rows = (g_hidden @ self.c.T).reshape(-1, d)
+            self.step(3, np.arange(len(self.c)), rows.T @ g_hidden / len(w), rate * 0.1, touched)
+            self.step(0, ctx.ravel(), g_rows, rate, touched)
+
+    def step(self, part: int, at: np.ndarray, g: np.ndarray, rate: float, touched: list[np.ndarray]) -> None:
+        """A step of a size set by each row's own past gradients, for the rows that occur."""
+        by = np.argsort(at, kind="stable")
+        s = at[by]
+        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        rows, times = s[first], np.diff(np.concatenate((first, [len(s)]))).astype(np.float32)
+        g = np.add.reduceat(g[by], first, axis=0)
+        total = self.sums[part]
+        total[rows] += np.einsum("rd,rd->r", g, g) / g.shape[1]
+        self.parts()[part][rows] -= (rate / np.sqrt(total[rows]))[:, None] * g
+        touched[part][rows] += times
+
+    def scorer(self):
+        """log10 p(symbol | context) of tokens by matrix products over bins and over the symbols of each bin."""
+        d = self.d
+        moved = [self.r @ self.c[k * d : (k + 1) * d] for k in range(CONTEXT)]
+        by = np.argsort(self.bins, kind="stable")
+        start = np.searchsorted(self.bins[by], np.arange(self.k + 1))
+        place = np.empty(self.n, dtype=np.int64)
+        place[by] = np.arange(self.n)
+
+        def normalised(z: np.ndarray, own: np.ndarray) -> np.ndarray:
+            z -= z.max(axis=1, keepdims=True)
+            at = z[np.arange(len(z)), own]
+            return at - np.log(np.exp(z, out=z).sum(axis=1))
+
+        def score(symbols: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+            hidden = sum(m[contexts[:, k]] for k, m in enumerate(moved))
+            bins = self.bins[symbols]
+            out = np.empty(len(symbols), dtype=np.float64)
+            for low in range(0, len(symbols), 8192):
+                part = slice(low, low + 8192)
+                out[part] = normalised(hidden[part] @ self.qb[:, :d].T + self.qb[:, d], bins[part])
+            order = np.argsort(bins, kind="stable")
+            bounds = np.searchsorted(bins[order], np.arange(self.k + 1))
+            for b in np.flatnonzero(np.diff(bounds)):
+                inside = by[start[b] : start[b + 1]]
+                if len(inside) == 1:
+                    continue
+                q, bias = self.q[inside, :d].T, self.q[inside, d]
+                step = max(64, (1 << 20) // len(inside))
+                for low in range(bounds[b], bounds[b + 1], step):
+                    w = order[low : min(low + step, bounds[b + 1])]
+                    out[w] += normalised(hidden[w] @ q + bias, place[symbols[w]] - start[b])
+            return out / np.log(10)
+
+        return score
+
+
+def fitted(training: DataFrame, symbols: Symbols, counts: np.ndarray, rounds: int = ROUNDS, seed: int = 7) -> Model:
+    """The model after rounds of training over all texts, averaged between rounds. Tasks meet the texts in the order in which they
+    are read, so reruns agree where the table is split alike."""
+    model = Model(counts)
+    spark = training.sparkSession
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in model.parts()])))
+    for turn in range(rounds):
+        shared = spark.sparkContext.broadcast((symbols, model))
+
+        def run(batches):
+            symbols, model = shared.value
+            before = [x.copy() for x in model.parts()]
+            sums = [x.copy() for x in model.sums]
+            touched = [np.zeros(len(x), dtype=np.float32) for x in before]
+            rng = np.random.default_rng([seed, turn, TaskContext.get().partitionId()])
+            held, size, steps = [], 0, 0
+
+            def learn():
+                s, ctx = (np.concatenate(x) for x in zip(*held))
+                for _ in range(max(1, -(-(LEAST_STEPS - steps) * BATCH // len(s)))):
+                    model.train(s, ctx, rng, touched)
+                return len(s) // BATCH
+
+            for keys, bounds in token_blocks(batches):
+                s = symbols(keys)
+                held.append((s.astype(np.int32), symbols.contexts(s, bounds).astype(np.int32)))
+                size += len(s)
+                if size > PENDING:
+                    steps += learn()
+                    held, size = [], 0
+            if held and size:
+                learn()
+            for part, (old, new) in enumerate(zip(before, model.parts())):
+                for low in range(0, len(new), GROUP):
+                    rows = slice(low, low + GROUP)
+                    some = np.flatnonzero(touched[part][rows])
+                    if len(some):
+                        own = [offsets[part] + low + some, touched[part][rows][some], (new[rows] - old[rows])[some].astype(np.float16), (model.sums[part][rows] - sums[part][rows])[some]]
+                        yield pa.RecordBatch.from_arrays([pa.array([(int(offsets[part]) + low) // GROUP * 4 + part]), *(pa.array([x.tobytes()], pa.binary()) for x in own)], ["grp", "row", "times", "change", "grown"])
+            for x, old in zip(model.parts(), before):
+                x[:] = old
+            for x, old in zip(model.sums, sums):
+                x[:] = old
+
+        def averaged(batches):
+            total: dict[int, list] = {}
+            for batch in batches:
+                for g, row, times, change, grown in zip(*(c.to_pylist() for c in batch.columns)):
+                    row, times, grown = np.frombuffer(row, np.int64), np.frombuffer(times, np.float32), np.frombuffer(grown, np.float32)
+                    change = np.frombuffer(change, np.float16).reshape(len(row), -1).astype(np.float64)
+                    own = total.setdefault(g, [int(row.min()) // GROUP * GROUP, None, None, None])
+                    if own[1] is None:
+                        own[1:] = [np.zeros((2 * GROUP, change.shape[1])), np.zeros(2 * GROUP), np.zeros(2 * GROUP)]
+                    at = row - own[0]
+                    while at.min() < 0 or at.max() >= 2 * GROUP:
+                        raise ValueError("a group of rows is wider than it can be")
+                    own[1][at] += change * times[:, None]
+                    own[2][at] += times
+                    own[3][at] += grown
+            for low, change, times, grown in total.values():
+                some = np.flatnonzero(times)
+                yield pa.RecordBatch.from_arrays([pa.array(low + some), pa.array(list((change[some] / times[some, None]).astype(np.float32)), pa.list_(pa.float32())), pa.array(grown[some].astype(np.float32))], ["row", "change", "grown"])
+
+        sent = training.mapInArrow(run, "grp long, row binary, times binary, change binary, grown binary").repartition("grp")
+        got = sent.mapInArrow(averaged, "row long, change array<float>, grown float").toArrow()
+        model = apply_changes(model, got, offsets)
+        shared.unpersist()
+    return model
+
+
+def apply_changes(model: Model, got: pa.Table, offsets: np.ndarray) -> Model:
+    row, grown = got.column(0).to_numpy(), got.column(2).to_numpy()
+    lists = got.column(1).combine_chunks()
+    flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+    for part, x in enumerate(model.parts()):
+        some = np.flatnonzero((row >= offsets[part]) & (row < offsets[part + 1]))
+        if len(some):
+            take = at[some][:, None] + np.arange(x.shape[1])
+            x[row[some] - offsets[part]] += flat[take]
+            model.sums[part][row[some] - offsets[part]] += grown[some]
+    return model
 
 
 def score(documents: DataFrame) -> DataFrame:
     """Base and model scores of every document."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = checkpoint(word_counts(docs))
+    training = docs.where(fold("doc_id", FOLDS) != HELD).select("text")
+    counts = checkpoint(word_counts(training))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.orderBy(F.desc("c"), "key").limit(FREQUENT).toArrow()
     top_key, top_count = top.column(0).to_numpy(), top.column(1).to_numpy()
     by = np.lexsort((top_key, -top_count))
     top_key, top_count = top_key[by], top_count[by]
-    symbols = Symbols(top_key[:SHORTLIST].copy())
-    pairs = pair_counts(docs, symbols)
-    # mass and number of the words in each class, without the shortlist
+    n_words = min(int(SYMBOLS * np.sqrt(v)), len(top_key))
+    symbols = Symbols(top_key[:n_words].copy())
+    # mass and number of the words in each class, without the frequent ones
     sums = {r.k: (r.c, r.n) for r in counts.groupBy(F.col("key").bitwiseAND(CLASSES - 1).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()}
-    mass = np.array([sum(sums.get(k, (0, 0))) for k in range(CLASSES)], dtype=np.float64)
-    short = class_of(top_key[:SHORTLIST])
-    mass -= np.bincount(short, weights=top_count[:SHORTLIST] + 1, minlength=CLASSES)
-    table = train(pairs) / np.log(10)
-    table[:, symbols.words :] -= np.log10(mass + 1)  # a word's own log10(c + 1) is added where it is known
+    short = class_of(top_key[:n_words])
+    mass = np.array([sums.get(k, (0, 0)) for k in range(CLASSES)], dtype=np.float64).T
+    mass -= np.array([np.bincount(short, weights=top_count[:n_words], minlength=CLASSES), np.bincount(short, minlength=CLASSES)])
+    model = fitted(training, symbols, np.concatenate((top_count[:n_words], mass[0])))
+    inside = np.log10(mass.sum(axis=0) + 1)  # a word's own log10(c + 1) is added where it is known
     order = np.argsort(top_key)
-    shared = spark.sparkContext.broadcast((top_key[order], np.log10(top_count[order] + 1.0), symbols, table.astype(np.float32)))
+    shared = spark.sparkContext.broadcast((top_key[order], np.log10(top_count[order] + 1.0), symbols, model, inside))
     base = float(np.log10(n + v + 1))
 
     def run(batches):
-        keys, logs, symbols, table = shared.value
+        keys, logs, symbols, model, inside = shared.value
+        log_p = model.scorer()
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            held = [None if x is None else fold_of(x, FOLDS) == HELD for x in batch.column(0).to_pylist()]
-            held = pa.array(held, pa.bool_())
+            held = batch.column(2)
             for i, j, data, offs in blocks(batch.column(1)):
                 token, bounds = keys_of(data, offs)
                 k = j - i
@@ -257,8 +366,9 @@ def score(documents: DataFrame) -> DataFrame:
                 known = keys[at] == token if len(keys) else np.zeros(len(token), dtype=bool)
                 log = np.where(known, logs[at], 0.0) if len(keys) else np.zeros(len(token))
                 s = symbols(token)
-                lm = table[symbols.contexts(s, bounds), s].astype(np.float64)
-                lm[s >= symbols.words] += log[s >= symbols.words]
+                lm = log_p(s, symbols.contexts(s, bounds))
+                rare = s >= symbols.words
+                lm[rare] += log[rare] - inside[s[rare] - symbols.words]
                 rare_doc, rare_key = doc[~known], token[~known]
                 by = np.lexsort((rare_key, rare_doc))
                 rare_doc, rare_key = rare_doc[by], rare_key[by]
@@ -283,7 +393,7 @@ def score(documents: DataFrame) -> DataFrame:
                 )
                 row += k
 
-    parts = docs.mapInArrow(run, "rid long, key long, times long, doc_id long, held_out boolean, n_tokens long, known long, log double, lm double")
+    parts = docs.select("doc_id", "text", (fold("doc_id", FOLDS) == HELD).alias("held_out")).mapInArrow(run, "rid long, key long, times long, doc_id long, held_out boolean, n_tokens long, known long, log double, lm double")
     joined = parts.join(counts, "key", "left")
     add = F.when(F.col("c").isNotNull(), F.col("times") * F.log10(F.col("c") + 1.0)).otherwise(F.lit(0.0))
     per = joined.groupBy("rid").agg(

@@ -436,11 +436,46 @@ def test_lm(tables, docs, empty):
 
 
 def test_lm_is_normalised():
-    pairs = np.random.default_rng(0).poisson(3, (13, 12)).astype(float)
-    table = lm_score.train(pairs, dimensions=4, steps=200, batch=256, noise=32)
-    assert np.allclose(np.exp(table).sum(axis=1), 1)
-    uniform = np.abs(pairs[:, :] * np.log(1 / 12)).sum()
-    assert -(pairs * table).sum() < uniform
+    r = np.random.default_rng(0)
+    counts = np.sort(r.pareto(1, 90))[::-1] * 100
+    model = lm_score.Model(counts, dimensions=6)
+    symbols = r.choice(90, 4000, p=counts / counts.sum())
+    contexts = np.stack([np.roll(symbols, k) for k in (1, 2, 3)], axis=1)
+    model.train(symbols, contexts, r, [np.zeros(len(x), np.float32) for x in model.parts()], batch=256)
+    assert model.k > 5 and len(np.unique(model.bins)) == model.k
+    some = contexts[:20]
+    got = np.stack([model.scorer()(np.full(20, s), some) for s in range(90)])
+    assert np.allclose((10**got).sum(axis=0), 1, atol=1e-4)
+    for i, ctx in enumerate(some):  # by the formula, one context at a time
+        h = sum(model.r[c] @ model.c[6 * k : 6 * k + 6] for k, c in enumerate(ctx))
+        z, zb = np.exp(model.q[:, :6] @ h + model.q[:, 6]), np.exp(model.qb[:, :6] @ h + model.qb[:, 6])
+        want = [zb[model.bins[s]] / zb.sum() * z[s] / z[model.bins == model.bins[s]].sum() for s in range(90)]
+        assert np.allclose(10 ** got[:, i], want, rtol=1e-3)
+
+
+def test_lm_learns_from_context(spark):
+    r = random.Random(4)
+    follows = {w: r.sample(WORDS[:60], 2) for w in WORDS[:60]}
+    texts = []
+    for _ in range(300):
+        w, out = r.choice(WORDS[:60]), []
+        for _ in range(60):
+            out.append(w)
+            w = r.choice(follows[w])
+        texts.append(" ".join(out))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    held = [x for x in lm_score.score(df).collect() if x.held_out]
+    gain = sum(x.score - x.base_score for x in held) / sum(x.n_tokens for x in held)
+    assert len(held) > 20 and gain > 0.8  # of log10(60) = 1.78 a word, two in sixty follow
+
+
+def test_symbols_grow_with_the_vocabulary(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm_score, "fitted", lambda training, symbols, counts: seen.append(symbols.words) or lm_score.Model(counts))
+    for n in (400, 1600):
+        lm_score.score(spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(n))) for k in range(4)], "doc_id long, text string")).collect()
+    assert seen[1] > 1.8 * seen[0]
+
 
 
 @pytest.mark.parametrize("most,chunk", [(0, 1024), (0, 2), (1 << 22, 1024)])
