@@ -297,10 +297,7 @@ def tabulate(low: Lowering, m: Matches, fields: list[Field], offset: int = 0, li
 
 
 def sort(low: Lowering, m: Matches, fields: list[Field]) -> DataFrame:
-    """The matches in the order of the fields: numbers and Roman numerals first, then bytes; ``rank`` says the place among equals.
-
-    The place is a count of smaller keys, not of rows before in one task.
-    """
+    """The matches in the order of the fields: numbers and Roman numerals first, then bytes."""
     df, names = field_columns(low, m, fields)
     order = []
     for n in names:
@@ -336,8 +333,8 @@ def concordance(low: Lowering, m: Matches, settings: Settings, attrs: list[str]
     around = page.select(*order, F.explode(F.sequence(F.col("lo") - n, F.col("hi") + n)).alias("pos"))
     attrs = attrs or low.c.attrs
     info = F.map_filter(F.create_map(*[x for a in attrs for x in (F.lit(a), F.col(f"`{a}`"))]), lambda _, v: scalar.present(v))
-    t = low.t.select("pos", "text_idx", "form", info.alias("info"))
-    x = around.join(t, "pos").groupBy(*order).agg(F.array_sort(F.collect_list(F.struct("pos", "form", F.to_json("info").alias("info")))).alias("x"), F.min("text_idx").alias("doc_id"))
+    t = low.t.select("pos", "text_idx", *[F.col(f"`{a}`") for a in dict.fromkeys(["form", *attrs])])
+    x = around.join(t, "pos").withColumn("info", info).groupBy(*order).agg(F.array_sort(F.collect_list(F.struct("pos", "form", F.to_json("info").alias("info")))).alias("x"), F.min("text_idx").alias("doc_id"))
     part = lambda cond: F.array_join(F.transform(F.filter("x", cond), lambda e: e["form"]), " ")
     return x.select(
         "doc_id", F.col("lo").alias("match_start"), F.col("hi").alias("match_end"), part(lambda e: e["pos"] < F.col("lo")).alias("left"), part(lambda e: (e["pos"] >= F.col("lo")) & (e["pos"] <= F.col("hi"))).alias("match"),
@@ -375,7 +372,7 @@ def sentences(low: Lowering, m: Matches, settings: Settings) -> DataFrame:
 
 
 def pairs(low: Lowering, m: Matches) -> DataFrame:
-    """Parallel hits: a number for each source hit, and the extents of both sides."""
+    """Parallel hits: the extents of both sides, a row for each pair."""
     if m.target is None:
         raise QueryError("not a parallel set")
     return m.df.select(F.col("lo").alias("source_start"), F.col("hi").alias("source_end"), F.col("t_lo").alias("target_start"), F.col("t_hi").alias("target_end"))

@@ -54,7 +54,7 @@ d as (
   select *, i % 20 as j, i // 20 as block, base + i as pos, text_idx * 1048576 + i // 20 as s_idx, least(20, n - (i // 20) * 20) as sn,
          translate(regexp_replace(form, '[!-/:-@\[-`{-~]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lemma
   from tk
-), t as (
+), t as materialized (
   select *, case when j > 0 then pos - j + (j - 1) // 2 end as head_pos, case when j = 0 then 'root' else ['root', 'nsubj', 'obj', 'det'][i % 4 + 1] end as deprel,
          case when lemma = '' then 'PUNCT' when length(lemma) <= 2 then 'DET' when regexp_matches(lemma, '(ed|en|re)$') then 'VERB' when regexp_matches(lemma, '(ly|ing)$') then 'ADV' else 'NOUN' end as upos,
          case when regexp_matches(form[1:1], '^[A-Z]') then 'Yes' else 'No' end as cap, length(lemma) as len,
@@ -62,7 +62,7 @@ d as (
          list_sum([greatest(0, least(sn, (j + 1) * 2 ** k + 2 ** k - 1) - (j + 1) * 2 ** k + 1) for k in [1, 2, 3, 4]])::bigint as ndesc
   from tl
 )"""
-_NODE = """, node as (
+_NODE = """, node as materialized (
   select s_idx * 8 + code as idx, b0 + a as start_pos, least(b0 + z - 1, b1) as end_pos, case when p >= 0 then s_idx * 8 + p end as par, type, text_idx
   from (select s_idx, text_idx, min(pos) as b0, max(pos) as b1 from t group by s_idx, text_idx),
        (values (0, 0, 20, -1, 'S'), (1, 0, 10, 0, 'NP'), (2, 10, 20, 0, 'NP'), (3, 0, 5, 1, 'VP'), (4, 5, 10, 1, 'VP'), (5, 10, 15, 2, 'VP'), (6, 15, 20, 2, 'VP')) as x(code, a, z, p, type)
@@ -123,6 +123,7 @@ add("region_attr", '[text_lang="de" & form="und"]', _pos("lang = 'de' and form =
 add("region_attr_regex", '[text_source=/src1/ & form="the"]; count by text_source', _count("form = 'the' and contains(source, 'src1')", "source"))
 add("nested_region_attr", '[node_type="VP" & form="the"]', "select distinct pos as lo, pos as hi from t join node on pos between start_pos and end_pos where type = 'VP' and form = 'the'", _NODE, extents=True)
 add("nvals", '[nvals(text_domain) = 2 & nvals(node_type) = 3 & lemma="is"]; count by text_lang', _count("lemma = 'is'"))
+add("nvals_none", "[nvals(lemma) = 0]; count by text_lang", _count("lemma = ''"))
 add("and_or", '[(upos="VERB" | upos="ADV") & text_lang="en"]; count by upos', _count("upos in ('VERB', 'ADV') and lang = 'en'", "upos"))
 add("child", '[upos="VERB" & child [upos="ADV"]]', _pos("upos = 'VERB' and exists (select 1 from t b where b.head_pos = t.pos and b.upos = 'ADV')"), extents=True)
 add("not_child", '[upos="VERB" & not child [upos="NOUN"]]', _pos("upos = 'VERB' and not exists (select 1 from t b where b.head_pos = t.pos and b.upos = 'NOUN')"), extents=True)
@@ -150,8 +151,8 @@ add("within_value", '[lemma="the"] [upos="ADV"] within text_lang="en"', "select
 add("within_having", '[lemma="the"] within s having [lemma="worthless"]', _pos("lemma = 'the' and s_idx in (select s_idx from t where lemma = 'worthless')"), extents=True)
 add("not_within", '[upos="ADV"] [upos="ADV"] not within s', "select a.pos as lo, b.pos as hi from t a join t b on b.pos = a.pos + 1 and a.s_idx <> b.s_idx where a.upos = 'ADV' and b.upos = 'ADV'", extents=True)
 _ADV = ", m as (select first + k * 100 as lo, first + k * 100 + least(100, n - k * 100) - 1 as hi, text_idx from (select *, unnest(range((n - 1) // 100 + 1)) as k from runs))"
-add("containing", '[upos="NOUN"]{4,100} containing node', "select lo, hi from m where hi - lo >= 3 and exists (select 1 from node where node.text_idx = m.text_idx and start_pos >= lo and end_pos <= hi)", _RUNS.format("upos = 'NOUN'"), _ADV, _NODE, extents=True)
-add("not_containing", '[upos="NOUN"]{4,100} not containing node', "select lo, hi from m where hi - lo >= 3 and not exists (select 1 from node where node.text_idx = m.text_idx and start_pos >= lo and end_pos <= hi)", _RUNS.format("upos = 'NOUN'"), _ADV, _NODE, extents=True)
+add("containing", '[upos="NOUN"]{4,100} containing node', "select lo, hi from (select distinct lo, hi from (select lo, hi, unnest(range(lo, hi + 1)) as p from m where hi - lo >= 3) join node on start_pos = p where end_pos <= hi)", _RUNS.format("upos = 'NOUN'"), _ADV, _NODE, extents=True)
+add("not_containing", '[upos="NOUN"]{4,100} not containing node', "select m.lo, m.hi from m left join (select distinct lo, hi from (select lo, hi, unnest(range(lo, hi + 1)) as p from m where hi - lo >= 3) join node on start_pos = p where end_pos <= hi) h on h.lo = m.lo and h.hi = m.hi where m.hi - m.lo >= 3 and h.lo is null", _RUNS.format("upos = 'NOUN'"), _ADV, _NODE, extents=True)
 _SUB = ", sub as (select up, min(down) as a, max(down) as z from (select * from below union all select pos, pos from t) group by up)"
 add("containing_subtree", '[upos!="DET"]{4,100} containing subtree [nvals(upos) = 1 & count(child) >= 1]', "select distinct lo, hi from m join t on t.text_idx = m.text_idx and t.pos between lo and hi join sub on up = t.pos where hi - lo >= 3 and nchildren >= 1 and a >= lo and z <= hi", _RUNS.format("upos <> 'DET'"), _ADV, _BELOW, _SUB, extents=True)
 
@@ -171,7 +172,7 @@ add("anchor_start", '<s> [upos="ADV"]', _pos("upos = 'ADV' and j = 0"), extents=
 add("anchor_end", '[upos="ADV"] </s>', _pos("upos = 'ADV' and j = sn - 1"), extents=True)
 add("anchor_nested", 'np:<node> [upos="ADV"]; count by np.type', "select type as key, count(*) as count, round(count(*) * 100.0 / sum(count(*)) over (), 6) as pct from t join node on start_pos = pos where upos = 'ADV' group by 1", _NODE)
 add("anchor_innermost", 'np:<node> [upos="ADV"]; count by np.type', "select type as key, count(*) as count, round(count(*) * 100.0 / sum(count(*)) over (), 6) as pct from (select pos, arg_min(type, (end_pos - start_pos, idx)) as type from t join node on start_pos = pos where upos = 'ADV' group by pos) group by 1", _NODE, binding="innermost")
-add("anchor_super", '<node type="VP" lang="fr"> [upos="ADV"]', "select pos as lo, pos as hi from t join node on start_pos = pos where upos = 'ADV' and type = 'VP' and lang = 'fr'", _NODE, extents=True)
+add("anchor_super", '<node type="VP" lang="en"> [upos="ADV"]', "select pos as lo, pos as hi from t join node on start_pos = pos where upos = 'ADV' and type = 'VP' and lang = 'en'", _NODE, extents=True)
 add("rchild", 'np:<node type="NP"> vp:<node type="VP" rchild(np)> [upos="ADV"]', "select pos as lo, pos as hi from t join node a on a.start_pos = pos and a.type = 'NP' join node b on b.start_pos = pos and b.type = 'VP' and b.par = a.idx where upos = 'ADV'", _NODE, extents=True)
 add("rcontains", 'vp:<node type="VP"> up:<node rcontains(vp)> [upos="ADV"]; count by up.type', "select x.type as key, count(*) as count, round(count(*) * 100.0 / sum(count(*)) over (), 6) as pct from t join node v on v.start_pos = pos and v.type = 'VP' join node x on x.start_pos = pos and (x.idx = v.idx or x.idx = v.par or x.idx = (select par from node y where y.idx = v.par)) where upos = 'ADV' group by 1", _NODE)
 add("region_contains", 'vp:<node type="VP"> np:<node type="NP" contains(vp)> [upos="ADV"]', "select pos as lo, pos as hi from t join node v on v.start_pos = pos and v.type = 'VP' join node x on x.start_pos = pos and x.type = 'NP' and x.end_pos >= v.end_pos where upos = 'ADV'", _NODE, extents=True)

@@ -179,19 +179,25 @@ class Lowering:
         hits = self.c.regions[kind].where(self.test(F.col(f"`{attr}`"), t, as_set, True))
         if self.c.flat(kind):
             return f"{kind}_idx", hits.select(F.col("region_idx").alias(f"{kind}_idx"))
-        return "pos", self.c.cover(kind).join(hits.select("region_idx"), "region_idx", "left_semi").select("pos").distinct()
+        return "pos", hits.where("end_pos >= start_pos").select(F.explode(F.sequence("start_pos", "end_pos")).alias("pos")).distinct()
 
     def region_sets(self, kind: str, attr: str) -> DataFrame:
         """(pos, v): the set of values of all covering regions."""
-        own = self.c.regions[kind].select("region_idx", scalar.components(F.col(f"`{attr}`")).alias("v"))
-        joined = self.c.cover(kind).join(own, "region_idx")
+        own = self.covering(kind, scalar.components(F.col(f"`{attr}`")))
         if self.c.flat(kind):
-            return joined.select("pos", "v")
-        return joined.select("pos", F.explode("v").alias("x")).groupBy("pos").agg(F.array_sort(F.collect_set("x")).alias("v"))
+            return own
+        return own.select("pos", F.explode("v").alias("x")).groupBy("pos").agg(F.array_sort(F.collect_set("x")).alias("v"))
+
+    def covering(self, kind: str, value: Column) -> DataFrame:
+        """(pos, v): a value of every region that covers a position; nested regions are spread with it, flat ones are joined by number."""
+        rows = self.c.regions[kind]
+        if self.c.flat(kind):
+            return self.c.cover(kind).join(rows.select("region_idx", value.alias("v")), "region_idx").select("pos", "v")
+        return rows.where("end_pos >= start_pos").select(F.explode(F.sequence("start_pos", "end_pos")).alias("pos"), value.alias("v"))
 
     def region_values(self, kind: str, attr: str) -> DataFrame:
         """(pos, v): the value, or the distinct values of several covering regions joined by a pipe."""
-        joined = self.c.cover(kind).join(self.c.regions[kind].select("region_idx", F.col(f"`{attr}`").alias("v")), "region_idx").select("pos", "v")
+        joined = self.covering(kind, F.col(f"`{attr}`"))
         if self.c.flat(kind):
             return joined
         return joined.groupBy("pos").agg(F.array_join(F.array_sort(F.collect_set("v")), "|").alias("v"))
@@ -562,13 +568,14 @@ class Lowering:
         if of not in m.labels or m.labels[of][0] != "token":
             raise QueryError(f"{of} must label a token")
         at = f"s{m.labels[of][1]}"
-        sub = self.members_below().withColumnRenamed("_sub", f"sub{i}")
+        sub = self.members_below(m.df.select(F.col(at).alias("pos"))).withColumnRenamed("_sub", f"sub{i}")
         return replace(m, df=m.df.join(sub, F.col(at) == F.col("_top")).drop("_top"))
 
-    def members_below(self) -> DataFrame:
-        """(_top, _sub): each token and the sorted positions of itself and all that depends on it."""
+    def members_below(self, tops: DataFrame) -> DataFrame:
+        """(_top, _sub): each of the positions and, sorted, those of itself and all that depends on it."""
         self.tree()
-        pairs = self.under(self.t, self.t).union(self.t.select(F.col("pos").alias("up"), F.col("pos").alias("down")))
+        own = self.t.join(tops.where("pos is not null").distinct(), "pos", "left_semi")
+        pairs = self.under(own, self.t).union(own.select(F.col("pos").alias("up"), F.col("pos").alias("down")))
         return pairs.groupBy(F.col("up").alias("_top")).agg(F.array_sort(F.collect_list("down")).alias("_sub"))
 
     def subtrees(self, slot: Slot) -> Matches:
@@ -576,7 +583,7 @@ class Lowering:
         if slot.of not in self.named:
             raise QueryError(f"no query is named {slot.of}")
         m = self.named[slot.of]
-        df = m.df.join(self.members_below(), F.col("lo") == F.col("_top"))
+        df = m.df.join(self.members_below(m.df.select(F.col("lo").alias("pos"))), F.col("lo") == F.col("_top"))
         df = df.select(F.col("lo").alias("s0"), F.col("lo").alias("e0"), F.array_min("_sub").alias("lo"), F.array_max("_sub").alias("hi"), F.col("_sub").alias("sub0"))
         return Matches(df, {slot.label: ("subtree", 0, "")} if slot.label else {}, 1)
 

@@ -9,7 +9,7 @@ import pytest
 from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SOME = ("count_by_region", "neq", "fold_cd", "nested_region_attr", "child", "sibling", "descendant", "related_or", "run_max", "chain_rep", "optional", "within_nested", "containing_subtree", "gov_trans", "not_gov", "dep_subtree_named", "rcontains", "token_group_where", "align", "count_rollup", "freq_subcorpus", "coll_measures", "keyness_vs", "tabulate_nested", "kwic")
+SOME = ("count_by_region", "neq", "fold_cd", "nested_region_attr", "child", "sibling", "descendant", "related_or", "run_max", "chain_rep", "optional", "within_nested", "containing_subtree", "gov_trans", "not_gov", "dep_subtree_named", "rcontains", "token_group_where", "align", "count_rollup", "freq_subcorpus", "coll_measures", "keyness_vs", "tabulate_nested", "kwic", "containing", "not_containing", "rchild", "region_contains", "region_functions", "anchor_super", "nvals_none", "region_attr", "show_values_mv", "mv_eq", "dep_subtree_tcnt")
 
 
 def test_names():
