@@ -44,11 +44,11 @@ FREQUENT = 1 << 18
 DIMENSIONS = 32
 CONTEXT = 3
 NOISE = 64
-BATCH = 2048
+BATCH = 4096
 ROUNDS = 1
 #: Steps that a task makes in a round at least, by passing over its windows again (small corpora).
-LEAST_STEPS = 1000
-RATE = 0.1
+LEAST_STEPS = 500
+RATE = 0.03
 LUT = nonspace_class()
 END = 64 << 6  # key of the end token; words' keys are made different from it
 PENDING = 1 << 22
@@ -186,9 +186,12 @@ class Model:
                 neg = np.minimum(np.searchsorted(cumulative, rng.random(noise)), len(log) - 1)
                 own, other = table[t], table[neg]
                 pos = np.einsum("bd,bd->b", hidden, own[:, :d]) + own[:, d] - log[t]
-                odds = hidden @ other[:, :d].T + (other[:, d] - log[neg])
                 g_pos = (-1 / (1 + np.exp(np.clip(pos, -30, 30)))).astype(np.float32)[:, None]
-                g_neg = (1 / (1 + np.exp(-np.clip(odds, -30, 30)))).astype(np.float32)
+                g_neg = hidden @ -other[:, :d].T  # from here on in place: minus the log odds, then the probability of noise
+                g_neg -= other[:, d] - log[neg]
+                np.exp(np.minimum(g_neg, 30, out=g_neg), out=g_neg)
+                g_neg += 1
+                np.reciprocal(g_neg, out=g_neg)
                 g_hidden += g_pos * own[:, :d] + g_neg @ other[:, :d]
                 g = np.concatenate((np.concatenate((g_pos * hidden, g_pos), axis=1), np.concatenate((g_neg.T @ hidden, g_neg.sum(axis=0)[:, None]), axis=1)))
                 self.step(1 + which, np.concatenate((t, neg)), g, rate, touched)
