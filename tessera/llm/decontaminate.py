@@ -8,8 +8,9 @@ ranks, and every ``SAMPLE``-th suffix position. All windows are searched backwar
 each row of the final ranges is walked to a sampled suffix position; spans are merged by a
 difference array over the document's words.
 
-Test windows are broadcast in blocks of at most ``WINDOW_BLOCK`` windows (10 hashes each); a larger benchmark
-is searched block by block against the same shard, so one task never holds more.
+The benchmark is the stated query set: its distinct windows (10 hashes each, with their items) are made by the driver and travel to every task
+whole, so it has to fit there. A shard's index is built once; the windows are searched in it block by block, ``WINDOW_BLOCK`` at
+once, which bounds the search's own arrays.
 
 Edge cases: null or wordless texts give zero counts and the digest of the empty string;
 null and wordless items give no window; items of the same id are one item; an item without
@@ -172,52 +173,62 @@ def benchmark_windows(items: list[tuple[str | None, str | None]], size: int = WI
     return rows, lengths, [sorted(x for x in v if x is not None) for v in seen.values()]
 
 
-def shard_hits(h: np.ndarray, first: np.ndarray, windows):
-    """Hit flags of a shard's words, and (document, window) pairs of windows that occur."""
+class Shard:
+    """The index of a shard's words, coded by the vocabulary of all windows; it serves any number of blocks of windows."""
+
+    def __init__(self, h: np.ndarray, first: np.ndarray, vocab: np.ndarray, least: int):
+        self.n, self.first, self.vocab, self.index = len(h), first, vocab, None
+        if not len(vocab) or not len(h):
+            return
+        at = np.searchsorted(vocab, h)
+        at[at == len(vocab)] = 0
+        code = np.where(vocab[at] == h, at + 1, 0).astype(np.int32)
+        # separators: words outside the vocabulary, and the ends of documents
+        cuts = first[1:-1][(first[1:-1] > 0) & (first[1:-1] < len(h))]
+        brk = np.zeros(len(h) + 1, dtype=bool)
+        brk[cuts] = True
+        inside = code > 0
+        starts = np.flatnonzero(inside & (np.concatenate(([True], ~inside[:-1])) | brk[:-1]))
+        ends = np.flatnonzero(inside & (np.concatenate((~inside[1:], [True])) | brk[1:])) + 1
+        keep = ends - starts >= least
+        starts, ends = starts[keep], ends[keep]
+        if not len(starts):
+            return
+        size = ends - starts
+        place = np.concatenate(([1], 1 + np.cumsum(size + 1)))  # where each run begins in the index's text
+        text = np.zeros(int(place[-1]), dtype=np.int32)
+        self.where = np.zeros(int(place[-1]), dtype=np.int64)
+        run = np.repeat(np.arange(len(starts)), size)
+        offset = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+        text[place[run] + offset] = code[starts[run] + offset]
+        self.where[place[run] + offset] = starts[run] + offset
+        self.index = FMIndex(text, len(vocab) + 1)
+
+    def hits(self, rows: np.ndarray, lengths: np.ndarray):
+        """Hit flags of the shard's words, and (document, window) pairs of windows that occur."""
+        hit = np.zeros(self.n + 1, dtype=np.int64)
+        none = np.zeros(0, dtype=np.int64)
+        if self.index is None or not len(rows):
+            return hit[:-1] > 0, none, none
+        spot = np.minimum(np.searchsorted(self.vocab, rows), len(self.vocab) - 1)
+        lo, hi = self.index.search(np.where(self.vocab[spot] == rows, spot + 1, 0), lengths)
+        n = hi - lo
+        which = np.repeat(np.arange(len(rows)), n)
+        if not len(which):
+            return hit[:-1] > 0, none, none
+        suffix = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        pos = self.where[self.index.locate(suffix)]
+        np.add.at(hit, pos, 1)
+        np.add.at(hit, pos + lengths[which], -1)
+        doc = np.searchsorted(self.first, pos, side="right") - 1
+        pairs = np.unique(doc * len(rows) + which)
+        return np.cumsum(hit)[:-1] > 0, pairs // len(rows), pairs % len(rows)
+
+
+def vocabulary(windows) -> tuple[np.ndarray, int]:
+    """The words of all windows, sorted, and the length of the shortest window."""
     rows, lengths, _ = windows
-    hit = np.zeros(len(h) + 1, dtype=np.int64)
-    none = np.zeros(0, dtype=np.int64)
-    if not len(rows) or not len(h):
-        return hit[:-1] > 0, none, none
-    vocab = np.unique(rows[np.arange(rows.shape[1])[None, :] < lengths[:, None]])
-    at = np.searchsorted(vocab, h)
-    at[at == len(vocab)] = 0
-    code = np.where(vocab[at] == h, at + 1, 0).astype(np.int32)
-    # separators: words outside the vocabulary, and the ends of documents
-    cuts = first[1:-1][(first[1:-1] > 0) & (first[1:-1] < len(h))]
-    brk = np.zeros(len(h) + 1, dtype=bool)
-    brk[cuts] = True
-    inside = code > 0
-    starts = np.flatnonzero(inside & (np.concatenate(([True], ~inside[:-1])) | brk[:-1]))
-    ends = np.flatnonzero(inside & (np.concatenate((~inside[1:], [True])) | brk[1:])) + 1
-    keep = ends - starts >= lengths.min()
-    starts, ends = starts[keep], ends[keep]
-    if not len(starts):
-        return hit[:-1] > 0, none, none
-    size = ends - starts
-    place = np.concatenate(([1], 1 + np.cumsum(size + 1)))  # where each run begins in the index's text
-    text = np.zeros(int(place[-1]), dtype=np.int32)
-    where = np.zeros(int(place[-1]), dtype=np.int64)
-    run = np.repeat(np.arange(len(starts)), size)
-    offset = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
-    text[place[run] + offset] = code[starts[run] + offset]
-    where[place[run] + offset] = starts[run] + offset
-    index = FMIndex(text, len(vocab) + 1)
-    coded = np.zeros(rows.shape, dtype=np.int64)
-    spot = np.minimum(np.searchsorted(vocab, rows), len(vocab) - 1)
-    coded[:] = np.where(vocab[spot] == rows, spot + 1, 0)
-    lo, hi = index.search(coded, lengths)
-    n = hi - lo
-    which = np.repeat(np.arange(len(rows)), n)
-    if not len(which):
-        return hit[:-1] > 0, none, none
-    suffix = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-    pos = where[index.locate(suffix)]
-    np.add.at(hit, pos, 1)
-    np.add.at(hit, pos + lengths[which], -1)
-    doc = np.searchsorted(first, pos, side="right") - 1
-    pairs = np.unique(doc * len(rows) + which)
-    return np.cumsum(hit)[:-1] > 0, pairs // len(rows), pairs % len(rows)
+    return np.unique(rows[np.arange(rows.shape[1])[None, :] < lengths[:, None]]), int(lengths.min()) if len(lengths) else 0
 
 
 def window_blocks(windows, most: int = WINDOW_BLOCK):
@@ -226,15 +237,16 @@ def window_blocks(windows, most: int = WINDOW_BLOCK):
         yield rows[k : k + most], lengths[k : k + most], items[k : k + most]
 
 
-def shard_results(array: pa.Array, windows, shard_bytes: int = SHARD_BYTES):
-    """For each shard of the array: first row, word bounds, hit flags, and each document's items."""
+def shard_results(array: pa.Array, windows, words: tuple[np.ndarray, int], shard_bytes: int = SHARD_BYTES):
+    """For each shard of the array: first row, word bounds, hit flags, and each document's items. words: the windows' vocabulary."""
     for i, j, data, offs in blocks(array, shard_bytes):
         starts, ends, first = word_bounds(data, offs, LUT)
         h = word_hashes(data, starts, ends)
         hit = np.zeros(len(h), dtype=bool)
         items: dict[int, set] = {}
+        shard = Shard(h, first, *words)
         for part in window_blocks(windows):
-            flags, docs, which = shard_hits(h, first, part)
+            flags, docs, which = shard.hits(*part[:2])
             hit |= flags
             for d, w in zip(docs.tolist(), which.tolist()):
                 items.setdefault(d, set()).update(part[2][w])
@@ -253,12 +265,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     empty = hashlib.sha256(b"").hexdigest()
 
     def run(batches):
+        words = vocabulary(shared.value)
         for batch in batches:
             n_words = np.zeros(batch.num_rows, dtype=np.int64)
             n_hit = np.zeros(batch.num_rows, dtype=np.int64)
             n_items = np.zeros(batch.num_rows, dtype=np.int64)
             digest = [empty] * batch.num_rows
-            for i, j, _, _, _, _, first, hit, items in shard_results(batch.column(1), shared.value):
+            for i, j, _, _, _, _, first, hit, items in shard_results(batch.column(1), shared.value, words):
                 n_words[i:j] = np.diff(first)
                 n_hit[i:j] = segment_sums(hit, first)
                 for d, found in items.items():
@@ -294,9 +307,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     count = names.index("n_chars") if "n_chars" in names else -1
 
     def run(batches):
+        words = vocabulary(shared.value)
         for batch in batches:
             texts, keep, lengths = {}, np.ones(batch.num_rows, dtype=bool), {}
-            for i, j, _, offs, starts, ends, first, hit, _ in shard_results(batch.column(at), shared.value):
+            for i, j, _, offs, starts, ends, first, hit, _ in shard_results(batch.column(at), shared.value, words):
                 found = segment_sums(hit, first)
                 for d in np.flatnonzero(found).tolist():
                     a, b = first[d], first[d + 1]

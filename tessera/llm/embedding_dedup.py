@@ -126,6 +126,22 @@ def unit(raw: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def joined(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The smallest row of each row's component after the links (p, q), by array operations only."""
+    while True:
+        a, b = root[p], root[q]
+        apart = a != b
+        if not apart.any():
+            return root
+        p, q, low, high = p[apart], q[apart], np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        np.minimum.at(root, high, low)
+        while True:  # every row hangs under its root again
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
 def block_links(ids: np.ndarray, counts: np.ndarray, raw: np.ndarray, side: np.ndarray, within: bool, threshold: float):
     """(id, linked vectors, id of a neighbour) of a task's points: pairs within them, or across sides 0 and 1."""
     x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -134,12 +150,6 @@ def block_links(ids: np.ndarray, counts: np.ndarray, raw: np.ndarray, side: np.n
     links = np.zeros(len(ids), dtype=np.int64)
     root = np.arange(len(ids))
 
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
     if len(x) and len(y):
         points = unit(raw)
         smallest = np.sqrt(2 - 2 * threshold) / 2
@@ -152,12 +162,9 @@ def block_links(ids: np.ndarray, counts: np.ndarray, raw: np.ndarray, side: np.n
             ok = cosines(raw[p], raw[q]) >= threshold
             p, q = p[ok], q[ok]
             links += np.bincount(p, weights=counts[q], minlength=len(ids)).astype(np.int64) + np.bincount(q, weights=counts[p], minlength=len(ids)).astype(np.int64)
-            for i, j in zip(p.tolist(), q.tolist()):
-                i, j = find(i), find(j)
-                if i != j:
-                    root[max(i, j)] = min(i, j)
+            root = joined(root, p, q)
     some = np.flatnonzero(links)
-    return ids[some], links[some], ids[np.array([find(i) for i in some], dtype=np.int64)]
+    return ids[some], links[some], ids[root[some]]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = CELL, pivots: int = PIVOTS) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _power, alnum_class, blocks, mix, word_bounds, word_hashes
+from .common import _power, alnum_class, blocks, fresh, mix, word_bounds, word_hashes
 
 LEAST = 5
 LUT = alnum_class()
@@ -94,9 +94,10 @@ def repeated_units(documents: DataFrame, least: int = LEAST) -> DataFrame:
 
 def without_repeats(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """The documents without their repeated units; spans of one document are gathered, never more."""
-    spans = repeated_units(documents, least).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    own, cuts = fresh(documents, "id", "spans")
+    spans = repeated_units(documents, least).groupBy(F.col("doc_id").alias(own)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(cuts))
     names = documents.columns
-    joined = documents.join(spans.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*documents.columns, "_spans")
+    joined = documents.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left").select(*documents.columns, cuts)
     at = names.index("text")
     count = names.index("n_chars") if "n_chars" in names else -1
 

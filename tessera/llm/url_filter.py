@@ -1,7 +1,7 @@
 """URL filters by host-suffix and path-prefix expressions.
 
 Each url is expanded into the expressions that a rule can equal: its host and parent domains
-times the prefixes of its path at the lengths that rules have. Both sides' expressions are
+(of at most as many labels as any rule has) times the prefixes of its path at the lengths that rules have. Both sides' expressions are
 keyed by the first 4 bytes of their sha256; the equi-join is on that short prefix and the
 full digest confirms. Of the rules that fit, the longest (host and path) wins; of rules of
 one length the longer host wins, then block before allow.
@@ -47,12 +47,14 @@ def judge(pages: DataFrame, rules=RULES, default: str = DEFAULT) -> DataFrame:
     spark = pages.sparkSession
     table = rule_table(spark, rules)
     lengths = [x[0] for x in table.select(F.length("r_path").alias("n")).distinct().collect()]
-    n_rules = table.count()
+    most = F.size(F.split("r_host", r"\."))
+    n_rules, deepest = table.agg(F.count(F.lit(1)), F.coalesce(F.max(most), F.lit(1))).first()
     p = pages.select("page_id", F.col("url").alias("u")).select("page_id", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
     # the verdict depends on host and path alone: pages are matched once per distinct pair
     sites = p.where("host <> ''").groupBy("host", "path").agg(F.lit(1).alias("one"))
     labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    labels = F.slice(F.reverse(labels), F.lit(1), F.lit(deepest))  # no rule has more labels
+    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.reverse(F.slice(labels, F.lit(1), i)), "."))
     cuts = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path")) if lengths else F.array().cast("array<int>")
     e = sites.select("host", "path", F.explode(hosts).alias("e_host"), cuts.alias("cuts")).select("host", "path", "e_host", F.explode("cuts").alias("n"))
     e = e.withColumn("digest", F.sha2(F.concat(F.col("e_host"), F.lit("\n"), F.col("path").substr(F.lit(1), F.col("n"))), 256))

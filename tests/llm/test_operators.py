@@ -493,3 +493,33 @@ def test_far_links_both_ways(spark, monkeypatch, most, chunk):
     want = {i: sum(i != j and len(sets[i] & sets[j]) >= 0.7 * min(len(sets[i]), len(sets[j])) - 1e-9 for j in distinct) for i in distinct}
     assert {i: got[i].n_links for i in distinct} == want and sum(want.values()) > 200
     assert all(got[100 + k].n_links == want[first[t]] and got[100 + k].class_id == first[t] for k, t in enumerate(texts[::5]))
+
+
+def test_clashing_names_and_repeats(spark):
+    r = random.Random(31)
+    t = prose(60, r)
+    rows = [(1, t, 7, 8, 9, "a"), (1, t, 7, 8, 9, "b"), (None, t, 7, 8, 9, "c"), (None, None, 7, 8, 9, "d"), (2, "", 7, 8, 9, "e"), (3, t + " " + prose(5, r), 7, 8, 9, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id long, _spans long, digest long, key string")
+    kept = near_dedup.deduplicate(df).collect()
+    assert df.columns == near_dedup.deduplicate(df).columns and all((x._id, x._spans, x.digest) == (7, 8, 9) for x in kept)
+    assert sum((x.text or "").startswith(t) for x in kept) == 1 and sum(not x.text for x in kept) == 1
+    clean = substring_dedup.without_repeats(df)
+    assert clean.columns == df.columns and clean.count() == len(rows)
+    out = mixing.mix_documents(df.withColumn("source", df.key))
+    assert out.where("words > 0").count() > 0
+
+
+def test_one_index_serves_all_blocks(spark, monkeypatch):
+    built = []
+    plain = decontaminate.FMIndex.__init__
+    monkeypatch.setattr(decontaminate.FMIndex, "__init__", lambda self, *a: built.append(1) or plain(self, *a))
+    import pyarrow as pa
+
+    windows = decontaminate.benchmark_windows([("a", " ".join(TEXTS[0].split()[:40])), ("b", PASSAGE)])
+    whole = list(decontaminate.shard_results(pa.array([t or "" for t in TEXTS]), windows, decontaminate.vocabulary(windows)))
+    one = len(built)
+    monkeypatch.setattr(decontaminate, "WINDOW_BLOCK", 7)
+    monkeypatch.setattr(decontaminate, "window_blocks", lambda w: ((w[0][k : k + 7], w[1][k : k + 7], w[2][k : k + 7]) for k in range(0, len(w[0]), 7)))
+    parts = list(decontaminate.shard_results(pa.array([t or "" for t in TEXTS]), windows, decontaminate.vocabulary(windows)))
+    assert len(built) == 2 * one and len(windows[0]) > 21
+    assert all((x[7] == y[7]).all() and x[8] == y[8] for x, y in zip(whole, parts)) and any(x[7].any() for x in whole)
