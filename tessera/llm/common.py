@@ -9,6 +9,7 @@ or characters runs in Python.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zlib
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once; a longer text makes a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
@@ -95,6 +96,14 @@ def blocks(array: pa.Array, most: int = BLOCK_BYTES):
         j = min(max(j, i + 1), n)
         yield i, j, raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back, which a worker that later stages use again would keep (glibc only)."""
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
 
 
 def word_bounds(data: np.ndarray, offs: np.ndarray, lut: np.ndarray):

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import alnum_class, blocks, segment_sums, word_bounds, word_hashes
 
 WINDOW = 10
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 SAMPLE = 16
 WINDOW_BLOCK = 200_000
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
