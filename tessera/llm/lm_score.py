@@ -44,11 +44,11 @@ FREQUENT = 1 << 18
 DIMENSIONS = 32
 CONTEXT = 3
 NOISE = 64
-BATCH = 4096
+BATCH = 2048
 ROUNDS = 1
 #: Steps that a task makes in a round at least, by passing over its windows again (small corpora).
-LEAST_STEPS = 500
-RATE = 0.03
+LEAST_STEPS = 1000
+RATE = 0.1
 LUT = nonspace_class()
 END = 64 << 6  # key of the end token; words' keys are made different from it
 PENDING = 1 << 22
