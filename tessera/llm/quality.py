@@ -113,34 +113,47 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds:
 
 
 def fit(documents: DataFrame, labels: DataFrame, folds: int = FOLDS, bound: int = SAMPLE):
+    """The model. The sample's features and the decomposition stay in one task; the driver gets the basis and the vectors."""
     df, n = document_frequencies(documents)
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.1)
     sample, shares = labelled_sample(documents, labels, "quality", folds, bound)
 
     def run(batches):
+        held, y = [], []
         for batch in batches:
             for i, j, counts in feature_blocks(batch.column(1)):
-                x = scaled(counts, idf).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([r.tobytes() for r in x], pa.binary())], ["y", "x"])
-
-    got = sample.select("y", "text", "id").mapInArrow(run, "y int, x binary").collect()
-    y = np.array([r.y for r in got], dtype=np.int64)
-    x = np.array([np.frombuffer(r.x, dtype=np.float32) for r in got], dtype=np.float32).reshape(len(got), FEATURES)
-    del got
+                held.append(scaled(counts, idf).astype(np.float32))
+                y.append(batch.column(0)[i:j].to_numpy())
+        if held:
+            x, y = np.concatenate(held), np.concatenate(y).astype(np.int64)
+            held.clear()
+            some = x.any(axis=1)
+            if not some.any():
+                return
+            x, y = x[some], y[some]
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (*latent(x), y)], ["basis", "vectors", "y"])
+
+    got = sample.select("y", "text", "id").coalesce(1).mapInArrow(run, "basis binary, vectors binary, y binary").collect()
     total = sum(shares.values())
     prior = shares.get(1, 0) / total if total else 0.5
-    some = np.abs(x).sum(axis=1) > 0
-    x, y = x[some], y[some]
+    y = np.frombuffer(got[0].y, dtype=np.int64) if got else np.zeros(0, dtype=np.int64)
     if not len(y):
         return {"prior": prior, "idf": idf, "vectors": None}
-    values, basis = np.linalg.eigh((x.T @ x).astype(np.float64))
-    basis = basis[:, ::-1][:, :DIMENSIONS].astype(np.float32)
-    vectors = x @ basis
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    basis = np.frombuffer(got[0].basis, dtype=np.float32).reshape(FEATURES, -1)
+    vectors = np.frombuffer(got[0].vectors, dtype=np.float32).reshape(len(y), -1)
     weight = np.array([(shares.get(v, 0) / total) / max(1, np.count_nonzero(y == v)) * len(y) for v in (0, 1)], dtype=np.float32)
     return {"prior": prior, "idf": idf, "basis": basis, "vectors": vectors, "y": y, "weight": weight[y]}
 
 
+def latent(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The basis of the latent space, and the rows' vectors in it."""
+    basis = np.linalg.eigh((x.T @ x).astype(np.float64))[1]
+    basis = np.ascontiguousarray(basis[:, ::-1][:, :DIMENSIONS], dtype=np.float32)
+    vectors = x @ basis
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    return basis, vectors
+
+
 def vote(counts: np.ndarray, model) -> np.ndarray:
     """Share of label 1 among the nearest labelled vectors, weighted by similarity."""
     score = np.full(len(counts), model["prior"])

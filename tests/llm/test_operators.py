@@ -526,6 +526,17 @@ def test_one_index_serves_all_blocks(spark, monkeypatch):
     assert all((x[7] == y[7]).all() and x[8] == y[8] for x, y in zip(whole, parts)) and any(x[7].any() for x in whole)
 
 
+def test_quality_fit_sends_the_driver_little(tables, monkeypatch):
+    d, labels = tables
+    sent = []
+    plain = type(d).collect
+    monkeypatch.setattr(type(d), "collect", lambda self: (lambda rows: sent.append(sum(len(v) for r in rows for v in r if isinstance(v, (bytes, bytearray)))) or rows)(plain(self)))
+    model = quality.fit(d, labels)
+    sample = len(model["y"])
+    assert sample > 300 and model["basis"].shape == (quality.FEATURES, quality.DIMENSIONS) and model["vectors"].shape == (sample, quality.DIMENSIONS)
+    assert 0 < sum(sent) < sample * quality.FEATURES  # the features alone are four times that
+
+
 @pytest.mark.parametrize("most", [60, 1 << 21])
 def test_far_links_send_no_pairs(spark, monkeypatch, most):
     """Beyond the first broadcast too links are counted where the larger texts are read; no text is sent to a bucket."""
