@@ -178,37 +178,46 @@ class Model:
         d = self.d
         for low in range(0, len(order), batch):
             w = order[low : low + batch]
-            ctx, tgt = contexts[w], symbols[w]
-            rows = self.r[ctx.ravel()].reshape(len(w), CONTEXT * d)
-            hidden = rows @ self.c
-            g_hidden = np.zeros_like(hidden)
+            ctx, tgt = np.take(contexts, w, axis=0).ravel(), symbols[w]
+            rows = np.take(self.r, ctx, axis=0).reshape(len(w), CONTEXT * d)
+            hidden = np.empty((len(w), d + 1), dtype=np.float32)  # the last column meets the bias
+            hidden[:, :d], hidden[:, d] = rows @ self.c, 1
+            g_hidden = np.zeros((len(w), d), dtype=np.float32)
             for which, (table, t, cumulative, log) in enumerate(((self.q, tgt, noise_sum, log_noise), (self.qb, self.bins[tgt], bin_sum, log_bin))):
                 neg = np.minimum(np.searchsorted(cumulative, rng.random(noise)), len(log) - 1)
-                own, other = table[t], table[neg]
-                pos = np.einsum("bd,bd->b", hidden, own[:, :d]) + own[:, d] - log[t]
+                own, other = np.take(table, t, axis=0), table[neg]
+                pos = np.einsum("bd,bd->b", hidden, own) - log[t]
                 g_pos = (-1 / (1 + np.exp(np.clip(pos, -30, 30)))).astype(np.float32)[:, None]
-                g_neg = hidden @ -other[:, :d].T  # from here on in place: minus the log odds, then the probability of noise
-                g_neg -= other[:, d] - log[neg]
-                np.exp(np.minimum(g_neg, 30, out=g_neg), out=g_neg)
+                minus = -other
+                minus[:, d] += log[neg]
+                g_neg = hidden @ minus.T  # from here on in place: minus the log odds, then the probability of noise
+                with np.errstate(over="ignore"):  # of an infinite one the reciprocal is 0
+                    np.exp(g_neg, out=g_neg)
                 g_neg += 1
                 np.reciprocal(g_neg, out=g_neg)
-                g_hidden += g_pos * own[:, :d] + g_neg @ other[:, :d]
-                g = np.concatenate((np.concatenate((g_pos * hidden, g_pos), axis=1), np.concatenate((g_neg.T @ hidden, g_neg.sum(axis=0)[:, None]), axis=1)))
+                own = own[:, :d]
+                own *= g_pos
+                g_hidden += own
+                g_hidden += g_neg @ other[:, :d]
+                g = np.empty((len(w) + noise, d + 1), dtype=np.float32)
+                np.multiply(hidden, g_pos, out=g[: len(w)])
+                g[len(w) :] = g_neg.T @ hidden
                 self.step(1 + which, np.concatenate((t, neg)), g, rate, touched)
             g_rows = (g_hidden @ self.c.T).reshape(-1, d)
             self.step(3, np.arange(len(self.c)), rows.T @ g_hidden / len(w), rate * 0.1, touched)
-            self.step(0, ctx.ravel(), g_rows, rate, touched)
+            self.step(0, ctx, g_rows, rate, touched)
 
     def step(self, part: int, at: np.ndarray, g: np.ndarray, rate: float, touched: list[np.ndarray]) -> None:
         """A step of a size set by each row's own past gradients, for the rows that occur."""
-        by = np.argsort(at, kind="stable")
+        by = np.argsort(at.astype(np.uint16) if len(self.parts()[part]) <= 1 << 16 else at, kind="stable")  # 16 bits are sorted by radix
         s = at[by]
         first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         rows, times = s[first], np.diff(np.concatenate((first, [len(s)]))).astype(np.float32)
-        g = np.add.reduceat(g[by], first, axis=0)
+        g = np.add.reduceat(np.take(g, by, axis=0), first, axis=0)
         total = self.sums[part]
         total[rows] += np.einsum("rd,rd->r", g, g) / g.shape[1]
-        self.parts()[part][rows] -= (rate / np.sqrt(total[rows]))[:, None] * g
+        g *= (rate / np.sqrt(total[rows]))[:, None]
+        self.parts()[part][rows] -= g
         touched[part][rows] += times
 
     def scorer(self):
@@ -220,29 +229,38 @@ class Model:
         place = np.empty(self.n, dtype=np.int64)
         place[by] = np.arange(self.n)
 
-        def normalised(z: np.ndarray, own: np.ndarray) -> np.ndarray:
-            z -= z.max(axis=1, keepdims=True)
+        longest = max(float(np.sqrt(np.einsum("rd,rd->r", x[:, :d], x[:, :d]).max())) for x in (self.q, self.qb))
+        most = max(float(np.abs(x[:, d]).max()) for x in (self.q, self.qb))
+
+        def normalised(z: np.ndarray, own: np.ndarray, small: bool) -> np.ndarray:
+            """small: no value is so large that its exponential must be kept in range."""
+            if not small:
+                z -= z.max(axis=1, keepdims=True)
             at = z[np.arange(len(z)), own]
-            return at - np.log(np.exp(z, out=z).sum(axis=1))
+            return at - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], dtype=np.float32))
 
         def score(symbols: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-            hidden = sum(m[contexts[:, k]] for k, m in enumerate(moved))
+            hidden = np.ones((len(symbols), d + 1), dtype=np.float32)  # the last column meets the bias
+            hidden[:, :d] = np.take(moved[0], contexts[:, 0], axis=0)
+            for k in range(1, CONTEXT):
+                hidden[:, :d] += np.take(moved[k], contexts[:, k], axis=0)
+            small = len(hidden) == 0 or float(np.sqrt(np.einsum("td,td->t", hidden, hidden).max())) * longest + most < 60
             bins = self.bins[symbols]
             out = np.empty(len(symbols), dtype=np.float64)
             for low in range(0, len(symbols), 8192):
                 part = slice(low, low + 8192)
-                out[part] = normalised(hidden[part] @ self.qb[:, :d].T + self.qb[:, d], bins[part])
+                out[part] = normalised(hidden[part] @ self.qb.T, bins[part], small)
             order = np.argsort(bins, kind="stable")
             bounds = np.searchsorted(bins[order], np.arange(self.k + 1))
             for b in np.flatnonzero(np.diff(bounds)):
                 inside = by[start[b] : start[b + 1]]
                 if len(inside) == 1:
                     continue
-                q, bias = self.q[inside, :d].T, self.q[inside, d]
+                q = self.q[inside].T
                 step = max(64, (1 << 20) // len(inside))
                 for low in range(bounds[b], bounds[b + 1], step):
                     w = order[low : min(low + step, bounds[b + 1])]
-                    out[w] += normalised(hidden[w] @ q + bias, place[symbols[w]] - start[b])
+                    out[w] += normalised(np.take(hidden, w, axis=0) @ q, place[symbols[w]] - start[b], small)
             return out / np.log(10)
 
         return score

@@ -572,3 +572,26 @@ def test_lowest_hashes_leave_room_in_the_bitmap(spark):
     assert near_dedup.has_bit(bits, near_dedup.levelled(marks, n_bits)).all()
     other = g.integers(0, 2**64, 20_000, dtype=np.uint64).view(np.int64)
     assert near_dedup.has_bit(bits, near_dedup.levelled(other, n_bits)).mean() < 0.6 * near_dedup.has_bit(plain, other).mean()
+
+
+def test_lm_training_makes_few_passes(monkeypatch):
+    """Rows are ordered by radix wherever 16 bits hold their numbers, and the scores stay those of the plain formula."""
+    g = np.random.default_rng(5)
+    model = lm_score.Model(np.sort(g.integers(1, 500, 300))[::-1].astype(float))
+    symbols, contexts = g.integers(0, 300, 5000), g.integers(0, 301, (5000, lm_score.CONTEXT))
+    kinds = set()
+    plain = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *x, **k: kinds.add(np.asarray(a).dtype.itemsize) or plain(a, *x, **k))
+    model.train(symbols, contexts, g, [np.zeros(len(x), dtype=np.float32) for x in model.parts()])
+    monkeypatch.undo()
+    assert kinds == {2}
+    d = model.d
+    for scale in (1, 200):  # also where exponentials would overflow
+        model.q[:, :d] *= scale
+        hidden = sum(model.r[contexts[:, k]].astype(float) @ model.c[k * d : (k + 1) * d] for k in range(lm_score.CONTEXT))
+        bins = hidden @ model.qb[:, :d].T + model.qb[:, d]
+        want = (bins - np.logaddexp.reduce(bins, axis=1, keepdims=True))[np.arange(5000), model.bins[symbols]]
+        z = np.where(model.bins[None, :] == model.bins[symbols][:, None], hidden @ model.q[:, :d].T + model.q[:, d], -np.inf)
+        want += z[np.arange(5000), symbols] - np.logaddexp.reduce(z, axis=1)
+        got = model.scorer()(symbols, contexts)
+        assert np.isfinite(got).all() and np.allclose(got, want / np.log(10), rtol=1e-3, atol=1e-3)
