@@ -6,6 +6,7 @@ where its decision changes them; all but the last return the columns of document
 time, a document once for each epoch in which it is taken, cut to ``words`` words where the
 budget ends inside it. The SQL of the rows can't be given (the classifier and the
 MinHash stage aren't expressible), so tests hold the stages against brute-force versions.
+Stages that use Python bound the session's Arrow batches by bytes (``small_batches``).
 """
 
 from __future__ import annotations
@@ -16,26 +17,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixing, near_dedup, pii, quality
-from tessera.llm.common import checkpoint_dir, table
+from tessera.llm.common import checkpoint_dir, small_batches, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    small_batches(spark)
     return near_dedup.deduplicate(docs, far=True)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages cut out; documents that are nothing else go."""
+    small_batches(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data masked."""
+    small_batches(spark)
     return pii.mask(docs)
 
 

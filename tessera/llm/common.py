@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once; a longer text makes a block of its own.
 BLOCK_BYTES = 1 << 19
+#: Bytes that Spark sends a Python worker at once: executor and worker hold a batch and its results in several copies.
+BATCH_BYTES = 1 << 22
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
@@ -170,6 +172,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes for the rest of the session (Spark reads the setting when a plan runs); a smaller bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
+    if not 0 < have <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage by files in the shared folder that spark.checkpoint.dir names."""
     set_checkpoint_dir(df.sparkSession)

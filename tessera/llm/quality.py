@@ -35,6 +35,8 @@ REPEATS = 16
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 WORDS = nonspace_class()
 _FILL = 1 << 18
+#: The most that an eigenpair's residual may be of the least eigenvalue in the latent space.
+EXACT = 1e-7
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -119,19 +121,16 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = FOLDS, bound: int
     sample, shares = labelled_sample(documents, labels, "quality", folds, bound)
 
     def run(batches):
-        held, y = [], []
+        x, y, n = np.empty((bound, FEATURES), dtype=np.float32), np.empty(bound, dtype=np.int64), 0  # pages are taken as rows come
         for batch in batches:
             for i, j, counts in feature_blocks(batch.column(1)):
-                held.append(scaled(counts, idf).astype(np.float32))
-                y.append(batch.column(0)[i:j].to_numpy())
-        if held:
-            x, y = np.concatenate(held), np.concatenate(y).astype(np.int64)
-            held.clear()
-            some = x.any(axis=1)
-            if not some.any():
-                return
-            x, y = x[some], y[some]
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (*latent(x), y)], ["basis", "vectors", "y"])
+                some = counts.any(axis=1)
+                at = slice(n, n + np.count_nonzero(some))
+                x[at] = scaled(counts[some], idf)
+                y[at] = batch.column(0)[i:j].to_numpy()[some]
+                n = at.stop
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (*latent(x[:n]), y[:n])], ["basis", "vectors", "y"])
 
     got = sample.select("y", "text", "id").coalesce(1).mapInArrow(run, "basis binary, vectors binary, y binary").collect()
     total = sum(shares.values())
@@ -146,9 +145,35 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = FOLDS, bound: int
 
 
 def latent(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The basis of the latent space, and the rows' vectors in it."""
-    basis = np.linalg.eigh((x.T @ x).astype(np.float64))[1]
-    basis = np.ascontiguousarray(basis[:, ::-1][:, :DIMENSIONS], dtype=np.float32)
+    """The basis of the latent space, and the rows' vectors in it.
+
+    Block Lanczos with full orthogonalisation, without the matrix x.T @ x: the Krylov space of a block as wide as the basis grows until
+    the largest eigenpairs have residuals of at most ``EXACT`` of the least of them, or until it is invariant, which holds them exactly.
+    """
+    columns = x.shape[1]
+    q = np.linalg.qr(np.random.default_rng(7).standard_normal((columns, min(DIMENSIONS, columns))))[0]
+    space, image = np.zeros((columns, 0)), np.zeros((columns, 0))
+    while True:
+        product = np.zeros_like(q)
+        for at in range(0, len(x), 256):
+            part = x[at : at + 256].astype(np.float64)
+            product += part.T @ (part @ q)
+        space, image = np.hstack((space, q)), np.hstack((image, product))
+        values, inner = np.linalg.eigh(space.T @ image)
+        inner = inner[:, ::-1][:, :DIMENSIONS]
+        basis = space @ inner
+        residuals = np.linalg.norm(image @ inner - basis * values[::-1][:DIMENSIONS], axis=0)
+        if space.shape[1] >= columns or residuals.max() <= EXACT * max(values[::-1][:DIMENSIONS][-1], 1e-12 * values[-1]):
+            break
+        for _ in range(2):
+            product -= space @ (space.T @ product)
+        # what is left of the block, without directions that are rounding only
+        u, left, _ = np.linalg.svd(product, full_matrices=False)
+        q = u[:, left > 1e-12 * values[-1]][:, : columns - space.shape[1]]
+        q = np.linalg.qr(q - space @ (space.T @ q))[0]
+        if not q.shape[1]:
+            break
+    basis = np.ascontiguousarray(basis, dtype=np.float32)
     vectors = x @ basis
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     return basis, vectors

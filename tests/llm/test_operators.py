@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -537,6 +538,24 @@ def test_quality_fit_sends_the_driver_little(tables, monkeypatch):
     assert 0 < sum(sent) < sample * quality.FEATURES  # the features alone are four times that
 
 
+def test_latent_space_is_exact_in_little_memory():
+    r = np.random.default_rng(11)
+    few = np.repeat(np.eye(3, quality.FEATURES, dtype=np.float32), 5, axis=0)
+    same = np.eye(200, quality.FEATURES, dtype=np.float32)
+    x = (r.standard_normal((600, 600)) * 0.99 ** np.arange(600) @ r.standard_normal((600, quality.FEATURES))).astype(np.float32)
+    for rows in (x, few, same):
+        tracemalloc.start()
+        basis, vectors = quality.latent(rows)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 90e6  # the matrix of all features in two copies and its eigenvectors take more
+        assert basis.shape == (quality.FEATURES, quality.DIMENSIONS) and vectors.shape == (len(rows), quality.DIMENSIONS)
+        assert np.abs(basis.T @ basis - np.eye(quality.DIMENSIONS)).max() < 1e-5
+        values = np.linalg.svd(rows.astype(np.float64), compute_uv=False)[: quality.DIMENSIONS] ** 2
+        got = (np.linalg.norm(rows.astype(np.float64) @ basis, axis=0) ** 2)[: len(values)]
+        assert np.allclose(got, values, rtol=1e-5, atol=1e-5 * values[0])
+
+
 @pytest.mark.parametrize("most", [60, 1 << 21])
 def test_far_links_send_no_pairs(spark, monkeypatch, most):
     """Beyond the first broadcast too links are counted where the larger texts are read; no text is sent to a bucket."""

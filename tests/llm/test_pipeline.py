@@ -2,12 +2,13 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import decontaminate, mixing, near_dedup, pii, quality
-from tessera.llm.common import table
+from tessera.llm.common import small_batches, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +44,23 @@ def test_stages(spark, tmp_path):
     want = {r.doc_id: r.taken for r in mixing.mixture(before).where("taken > 0").collect()}
     assert {r.doc_id: r.w for r in after.groupBy("doc_id").agg(F.sum("words").alias("w")).collect()} == want
     assert corpus_pipeline.run(spark, SF).count() == after.count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the tables")
+def test_arrow_batches_are_small(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 2000, 1, 1).select(F.expr("repeat(cast(id as string), 3000)").alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["size", "n"])
+
+    for stage in [stage for _, stage in corpus_pipeline.STAGES[:4]]:
+        spark.conf.unset(name)
+        stage(spark, table(spark, SF, "documents"), SF)
+        got = texts.mapInArrow(sizes, "size long, n long").collect()
+        assert sum(r.n for r in got) == 2000 and max(r.size for r in got) < 5e6  # 20 MB in one batch otherwise
+    spark.conf.set(name, "1000000")
+    small_batches(spark)
+    assert spark.conf.get(name) == "1000000"
+    spark.conf.unset(name)
