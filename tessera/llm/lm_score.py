@@ -50,6 +50,7 @@ ROUNDS = 1
 LEAST_STEPS = 1000
 RATE = 0.1
 LUT = nonspace_class()
+KEY_BITS = 57
 END = 64 << 6  # key of the end token; words' keys are made different from it
 PENDING = 1 << 22
 #: Rows of parameters that travel together.
@@ -116,21 +117,42 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
+class Lookup:
+    """Places of keys in a sorted array. A table over the keys' first bits (they are hashes) gives the first place at which one can
+    stand, from where few steps are left; no search through the whole array."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(4 * len(keys) - 1, 1).bit_length()
+        self.shift = KEY_BITS - bits
+        self.start = np.minimum(np.searchsorted(keys, np.arange(1 << bits, dtype=np.int64) << self.shift), len(keys) - 1).astype(np.int32)
+
+    def __call__(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each key and whether it is there."""
+        last = len(self.keys) - 1
+        if last < 0:
+            return np.zeros(len(key), dtype=np.int32), np.zeros(len(key), dtype=bool)
+        at = self.start[key >> self.shift]
+        left = np.flatnonzero(self.keys[at] < key)
+        while len(left):
+            left = left[at[left] < last]
+            at[left] += 1
+            left = left[self.keys[at[left]] < key[left]]
+        return at, self.keys[at] == key
+
+
 class Symbols:
     """Symbol numbers of keys: frequent words by rank, then the classes; the last number marks a text's beginning."""
 
     def __init__(self, shortlist: np.ndarray):
         self.order = np.argsort(shortlist)
-        self.sorted = shortlist[self.order]
+        self.find = Lookup(shortlist[self.order])
         self.words = len(shortlist)
         self.n = self.words + CLASSES
 
     def __call__(self, key: np.ndarray) -> np.ndarray:
-        out = self.words + class_of(key)
-        if self.words:
-            at = np.minimum(np.searchsorted(self.sorted, key), self.words - 1)
-            out = np.where(self.sorted[at] == key, self.order[at], out)
-        return out
+        at, known = self.find(key)
+        return np.where(known, self.order[at], self.words + class_of(key)) if self.words else class_of(key)
 
     def contexts(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Tokens x CONTEXT: the symbols before each token, the nearest first."""
@@ -151,6 +173,46 @@ def bins_of(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def row_sums(at: np.ndarray, g: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, how often, sum of its g) of the rows of n that occur in ``at``, in no given order. A row's occurrences are cut into full
+    eights and a rest of 1 to 8; the first, second ... of all rests are added as blocks, and so are the halves of all eights."""
+    by = np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")  # 16 bits are sorted by radix
+    s = at[by]
+    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    times = np.diff(np.concatenate((first, [len(s)])))
+    eights = (times - 1) >> 3
+    rest = times - 8 * eights
+    rank = np.argsort((8 - rest).astype(np.uint16), kind="stable")
+    first, times, eights = first[rank], times[rank], eights[rank]
+    start = first + 8 * eights
+    out = np.take(g, by[start], axis=0)
+    for k, end in enumerate(len(first) - np.cumsum(np.bincount(rest, minlength=9))[1:8], 1):
+        if end == 0:
+            break
+        out[:end] += np.take(g, by[start[:end] + k], axis=0)
+    some = np.flatnonzero(eights)
+    if len(some):
+        eights = eights[some]
+        before = np.cumsum(eights) - eights
+        of = np.repeat(first[some] - 8 * before, eights) + 8 * np.arange(before[-1] + eights[-1])
+        x = np.take(g, by[of[:, None] + np.arange(8)].ravel(), axis=0).reshape(len(of), -1)
+        while x.shape[1] > g.shape[1]:
+            half = x.shape[1] // 2
+            x = x[:, :half] + x[:, half:]
+        out[some] += np.add.reduceat(x, before, axis=0)
+    return s[first], times.astype(np.float32), out
+
+
+def move(table: np.ndarray, total: np.ndarray, touched: np.ndarray, rows: np.ndarray, times: np.ndarray, g: np.ndarray, rate: float) -> None:
+    """A step of a size set by each row's own past gradients; the rows differ."""
+    past = total[rows] + np.einsum("rd,rd->r", g, g) / g.shape[1]
+    total[rows] = past
+    g *= (-rate / np.sqrt(past))[:, None]
+    g += np.take(table, rows, axis=0)
+    table[rows] = g
+    touched[rows] += times
+
+
 class Model:
     """Parameters as rows: context vectors, target vectors with their bias, bin vectors with their bias, position matrices."""
 
@@ -170,55 +232,59 @@ class Model:
     def parts(self) -> list[np.ndarray]:
         return [self.r, self.q, self.qb, self.c]
 
-    def train(self, symbols: np.ndarray, contexts: np.ndarray, rng: np.random.Generator, touched: list[np.ndarray], batch: int = BATCH, noise: int = NOISE, rate: float = RATE) -> None:
-        """One pass of noise-contrastive estimation over the windows in random order; noise symbols are shared by a batch."""
-        noise_sum, bin_sum = np.cumsum(self.unigram), np.cumsum(self.bin_unigram)
-        log_noise, log_bin = np.log(noise * self.unigram).astype(np.float32), np.log(noise * self.bin_unigram).astype(np.float32)
-        order = rng.permutation(len(symbols))
-        d = self.d
-        for low in range(0, len(order), batch):
-            w = order[low : low + batch]
-            ctx, tgt = np.take(contexts, w, axis=0).ravel(), symbols[w]
-            rows = np.take(self.r, ctx, axis=0).reshape(len(w), CONTEXT * d)
-            hidden = np.empty((len(w), d + 1), dtype=np.float32)  # the last column meets the bias
-            hidden[:, :d], hidden[:, d] = rows @ self.c, 1
-            g_hidden = np.zeros((len(w), d), dtype=np.float32)
-            for which, (table, t, cumulative, log) in enumerate(((self.q, tgt, noise_sum, log_noise), (self.qb, self.bins[tgt], bin_sum, log_bin))):
-                neg = np.minimum(np.searchsorted(cumulative, rng.random(noise)), len(log) - 1)
-                own, other = np.take(table, t, axis=0), table[neg]
-                pos = np.einsum("bd,bd->b", hidden, own) - log[t]
-                g_pos = (-1 / (1 + np.exp(np.clip(pos, -30, 30)))).astype(np.float32)[:, None]
+    def train(self, symbols: np.ndarray, contexts: np.ndarray, rng: np.random.Generator, touched: list[np.ndarray], batch: int = BATCH, noise: int = NOISE, rate: float = RATE, passes: int = 1) -> None:
+        """Passes of noise-contrastive estimation over the windows, each in a random order; noise symbols are shared by a batch."""
+        d, n, draws = self.d, self.n, -(-len(symbols) // batch)
+        # target and bin vectors in one table, so that both go through the same products and the same step
+        table, total, times = (np.concatenate(x[1:3]) for x in (self.parts(), self.sums, touched))
+        log = np.log(noise * np.concatenate((self.unigram, self.bin_unigram))).astype(np.float32)
+        cumulative = (0, np.cumsum(self.unigram)), (n, np.cumsum(self.bin_unigram))
+        every, ones = np.arange(len(self.c)), np.ones(len(self.c), dtype=np.float32)
+        for _ in range(passes):
+            order = rng.permutation(len(symbols))
+            random = rng.random((draws, 2, noise))
+            neg = np.empty((draws, 2 * noise), dtype=np.int64)
+            for k, (low, p) in enumerate(cumulative):
+                neg[:, k * noise : (k + 1) * noise] = low + np.minimum(np.searchsorted(p, random[:, k]), len(p) - 1)
+            neg.sort(axis=1)
+            new = np.ones(neg.shape, dtype=bool)
+            new[:, 1:] = neg[:, 1:] != neg[:, :-1]
+            for turn in range(draws):
+                w = order[turn * batch : (turn + 1) * batch]
+                b = len(w)
+                ctx, tgt = np.take(contexts, w, axis=0).ravel(), symbols[w]
+                rows = np.take(self.r, ctx, axis=0).reshape(b, CONTEXT * d)
+                hidden = np.empty((b, d + 1), dtype=np.float32)  # the last column meets the bias
+                hidden[:, :d], hidden[:, d] = rows @ self.c, 1
+                at = np.concatenate((tgt, n + self.bins[tgt], neg[turn]))
+                g = np.zeros((len(at), d + 1), dtype=np.float32)
+                # noise: each symbol or bin once, times the number of its draws
+                once = np.flatnonzero(new[turn])
+                drawn = np.diff(np.concatenate((once, [2 * noise]))).astype(np.float32)[:, None]
+                which = neg[turn, once]
+                other = np.take(table, which, axis=0)
                 minus = -other
-                minus[:, d] += log[neg]
+                minus[:, d] += log[which]
                 g_neg = hidden @ minus.T  # from here on in place: minus the log odds, then the probability of noise
                 with np.errstate(over="ignore"):  # of an infinite one the reciprocal is 0
                     np.exp(g_neg, out=g_neg)
                 g_neg += 1
                 np.reciprocal(g_neg, out=g_neg)
-                own = own[:, :d]
+                g_hidden = g_neg @ (other[:, :d] * drawn)
+                g[2 * b + once] = (g_neg.T @ hidden) * drawn
+                own = np.take(table, at[: 2 * b], axis=0).reshape(2, b, d + 1)
+                pos = np.einsum("bd,kbd->kb", hidden, own) - log[at[: 2 * b]].reshape(2, b)
+                g_pos = (-1 / (1 + np.exp(np.clip(pos, -30, 30))))[:, :, None]
+                np.multiply(hidden, g_pos, out=g[: 2 * b].reshape(2, b, d + 1))
                 own *= g_pos
-                g_hidden += own
-                g_hidden += g_neg @ other[:, :d]
-                g = np.empty((len(w) + noise, d + 1), dtype=np.float32)
-                np.multiply(hidden, g_pos, out=g[: len(w)])
-                g[len(w) :] = g_neg.T @ hidden
-                self.step(1 + which, np.concatenate((t, neg)), g, rate, touched)
-            g_rows = (g_hidden @ self.c.T).reshape(-1, d)
-            self.step(3, np.arange(len(self.c)), rows.T @ g_hidden / len(w), rate * 0.1, touched)
-            self.step(0, ctx, g_rows, rate, touched)
-
-    def step(self, part: int, at: np.ndarray, g: np.ndarray, rate: float, touched: list[np.ndarray]) -> None:
-        """A step of a size set by each row's own past gradients, for the rows that occur."""
-        by = np.argsort(at.astype(np.uint16) if len(self.parts()[part]) <= 1 << 16 else at, kind="stable")  # 16 bits are sorted by radix
-        s = at[by]
-        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        rows, times = s[first], np.diff(np.concatenate((first, [len(s)]))).astype(np.float32)
-        g = np.add.reduceat(np.take(g, by, axis=0), first, axis=0)
-        total = self.sums[part]
-        total[rows] += np.einsum("rd,rd->r", g, g) / g.shape[1]
-        g *= (rate / np.sqrt(total[rows]))[:, None]
-        self.parts()[part][rows] -= g
-        touched[part][rows] += times
+                g_hidden += own[0, :, :d]
+                g_hidden += own[1, :, :d]
+                g_rows = (g_hidden @ self.c.T).reshape(-1, d)
+                move(table, total, times, *row_sums(at, g, len(table)), rate)
+                move(self.c, self.sums[3], touched[3], every, ones, rows.T @ g_hidden / b, rate * 0.1)
+                move(self.r, self.sums[0], touched[0], *row_sums(ctx, g_rows, len(self.r)), rate)
+        for both, parts in ((table, self.parts()), (total, self.sums), (times, touched)):
+            parts[1][:], parts[2][:] = both[:n], both[n:]
 
     def scorer(self):
         """log10 p(symbol | context) of tokens by matrix products over bins and over the symbols of each bin."""
@@ -226,42 +292,40 @@ class Model:
         moved = [self.r @ self.c[k * d : (k + 1) * d] for k in range(CONTEXT)]
         by = np.argsort(self.bins, kind="stable")
         start = np.searchsorted(self.bins[by], np.arange(self.k + 1))
-        place = np.empty(self.n, dtype=np.int64)
-        place[by] = np.arange(self.n)
-
+        inside, across = [np.ascontiguousarray(self.q[by[a:b]].T) for a, b in zip(start, start[1:])], np.ascontiguousarray(self.qb.T)
         longest = max(float(np.sqrt(np.einsum("rd,rd->r", x[:, :d], x[:, :d]).max())) for x in (self.q, self.qb))
         most = max(float(np.abs(x[:, d]).max()) for x in (self.q, self.qb))
 
-        def normalised(z: np.ndarray, own: np.ndarray, small: bool) -> np.ndarray:
+        def log_sum(z: np.ndarray, small: bool) -> np.ndarray:
             """small: no value is so large that its exponential must be kept in range."""
+            top = 0 if small else z.max(axis=1, keepdims=True)
             if not small:
-                z -= z.max(axis=1, keepdims=True)
-            at = z[np.arange(len(z)), own]
-            return at - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], dtype=np.float32))
+                z -= top
+                top = top[:, 0]
+            return top + np.log(np.exp(z, out=z) @ np.ones(z.shape[1], dtype=np.float32))
 
         def score(symbols: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+            bins = self.bins[symbols]
+            order = np.argsort(bins.astype(np.uint16) if self.k <= 1 << 16 else bins, kind="stable")
+            bins, symbols, contexts = bins[order], symbols[order], np.take(contexts, order, axis=0)  # tokens of a bin stand together
             hidden = np.ones((len(symbols), d + 1), dtype=np.float32)  # the last column meets the bias
             hidden[:, :d] = np.take(moved[0], contexts[:, 0], axis=0)
             for k in range(1, CONTEXT):
                 hidden[:, :d] += np.take(moved[k], contexts[:, k], axis=0)
             small = len(hidden) == 0 or float(np.sqrt(np.einsum("td,td->t", hidden, hidden).max())) * longest + most < 60
-            bins = self.bins[symbols]
-            out = np.empty(len(symbols), dtype=np.float64)
-            for low in range(0, len(symbols), 8192):
-                part = slice(low, low + 8192)
-                out[part] = normalised(hidden[part] @ self.qb.T, bins[part], small)
-            order = np.argsort(bins, kind="stable")
-            bounds = np.searchsorted(bins[order], np.arange(self.k + 1))
+            log_p = np.einsum("td,td->t", hidden, np.take(self.q, symbols, axis=0)).astype(np.float64)
+            log_p += np.einsum("td,td->t", hidden, np.take(self.qb, bins, axis=0))
+            for low in range(0, len(symbols), 1024):
+                log_p[low : low + 1024] -= log_sum(hidden[low : low + 1024] @ across, small)
+            bounds = np.searchsorted(bins, np.arange(self.k + 1))
             for b in np.flatnonzero(np.diff(bounds)):
-                inside = by[start[b] : start[b + 1]]
-                if len(inside) == 1:
-                    continue
-                q = self.q[inside].T
-                step = max(64, (1 << 20) // len(inside))
+                step = max(64, (1 << 18) // inside[b].shape[1])
                 for low in range(bounds[b], bounds[b + 1], step):
-                    w = order[low : min(low + step, bounds[b + 1])]
-                    out[w] += normalised(np.take(hidden, w, axis=0) @ q, place[symbols[w]] - start[b], small)
-            return out / np.log(10)
+                    part = slice(low, min(low + step, bounds[b + 1]))
+                    log_p[part] -= log_sum(hidden[part] @ inside[b], small)
+            out = np.empty_like(log_p)
+            out[order] = log_p / np.log(10)
+            return out
 
         return score
 
@@ -285,8 +349,7 @@ def fitted(training: DataFrame, symbols: Symbols, counts: np.ndarray, rounds: in
 
             def learn():
                 s, ctx = (np.concatenate(x) for x in zip(*held))
-                for _ in range(max(1, -(-(LEAST_STEPS - steps) * BATCH // len(s)))):
-                    model.train(s, ctx, rng, touched)
+                model.train(s, ctx, rng, touched, passes=max(1, -(-(LEAST_STEPS - steps) * BATCH // len(s))))
                 return len(s) // BATCH
 
             for keys, bounds in token_blocks(batches):
@@ -370,11 +433,11 @@ def score(documents: DataFrame) -> DataFrame:
     model = fitted(training, symbols, np.concatenate((top_count[:n_words], mass[0])))
     inside = np.log10(mass.sum(axis=0) + 1)  # a word's own log10(c + 1) is added where it is known
     order = np.argsort(top_key)
-    shared = spark.sparkContext.broadcast((top_key[order], np.log10(top_count[order] + 1.0), symbols, model, inside))
+    shared = spark.sparkContext.broadcast((Lookup(top_key[order]), np.log10(top_count[order] + 1.0), order, symbols, model, inside))
     base = float(np.log10(n + v + 1))
 
     def run(batches):
-        keys, logs, symbols, model, inside = shared.value
+        find, logs, ranks, symbols, model, inside = shared.value
         log_p = model.scorer()
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -383,10 +446,12 @@ def score(documents: DataFrame) -> DataFrame:
                 token, bounds = keys_of(data, offs)
                 k = j - i
                 doc = np.repeat(np.arange(k), np.diff(bounds))
-                at = np.minimum(np.searchsorted(keys, token), max(len(keys) - 1, 0))
-                known = keys[at] == token if len(keys) else np.zeros(len(token), dtype=bool)
-                log = np.where(known, logs[at], 0.0) if len(keys) else np.zeros(len(token))
-                s = symbols(token)
+                at, known = find(token)
+                log = np.where(known, logs[at], 0.0) if len(logs) else np.zeros(len(token))
+                s = symbols.words + class_of(token)
+                if symbols.words:
+                    rank = ranks[at]
+                    s = np.where(known & (rank < symbols.words), rank, s)
                 lm = log_p(s, symbols.contexts(s, bounds))
                 rare = s >= symbols.words
                 lm[rare] += log[rare] - inside[s[rare] - symbols.words]

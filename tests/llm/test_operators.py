@@ -614,3 +614,52 @@ def test_lm_training_makes_few_passes(monkeypatch):
         want += z[np.arange(5000), symbols] - np.logaddexp.reduce(z, axis=1)
         got = model.scorer()(symbols, contexts)
         assert np.isfinite(got).all() and np.allclose(got, want / np.log(10), rtol=1e-3, atol=1e-3)
+
+
+def test_lm_step_does_no_work_twice(monkeypatch):
+    """A batch's noise symbols and bins, each once, go through one product; a step is that of the plain formulas."""
+    g = np.random.default_rng(6)
+    model, plain = (lm_score.Model(np.array([4000.0, 900, 300] + [5.0] * 40), dimensions=6) for _ in range(2))
+    symbols, contexts = g.integers(0, 43, 700), g.integers(0, 44, (700, lm_score.CONTEXT))
+    seen = []
+    exp = np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *a, **k: seen.append(np.shape(x)) or exp(x, *a, **k))
+    touched = [np.zeros(len(x), dtype=np.float32) for x in model.parts()]
+    model.train(symbols, contexts, np.random.default_rng(1), touched)
+    monkeypatch.undo()
+    r = np.random.default_rng(1)
+    r.permutation(700)
+    draws = [np.searchsorted(np.cumsum(p), r.random(lm_score.NOISE)) for p in (model.unigram, model.bin_unigram)]
+    assert [s[1] for s in seen if len(s) == 2 and s[0] == 700] == [sum(len(np.unique(x)) for x in draws)]
+    d, k, h = 6, lm_score.CONTEXT, plain.r[contexts].reshape(700, -1).astype(float) @ plain.c
+    g_h, want = np.zeros((700, d)), []
+    for table, t, neg, p in ((plain.q, symbols, draws[0], model.unigram), (plain.qb, plain.bins[symbols], draws[1], model.bin_unigram)):
+        odds = lambda at: h @ table[at, :d].T + table[at, d] - np.log(lm_score.NOISE * p[at])  # noqa: B023, E731
+        wrong, right = 1 / (1 + np.exp(-odds(neg))), -1 / (1 + np.exp(odds(np.arange(len(table)))[np.arange(700), t]))
+        g_h += right[:, None] * table[t, :d] + wrong @ table[neg, :d]
+        x, one = np.zeros(table.shape), np.concatenate((h, np.ones((700, 1))), axis=1)
+        np.add.at(x, t, right[:, None] * one)
+        np.add.at(x, neg, wrong.T @ one)
+        want.append((x, np.bincount(np.concatenate((t, neg)), minlength=len(table))))
+    x = np.zeros(plain.r.shape)
+    np.add.at(x, contexts.ravel(), (g_h @ plain.c.T).reshape(-1, d))
+    want = [(x, np.bincount(contexts.ravel(), minlength=44)), *want, (plain.r[contexts].reshape(700, -1).T @ g_h / 700, np.ones(k * d))]
+    for part, (x, times) in enumerate(want):
+        assert (touched[part] == times).all()
+        total = 1e-2 + (x**2).mean(axis=1)
+        step = (lm_score.RATE * (0.1 if part == 3 else 1) / np.sqrt(total))[:, None] * x
+        assert np.allclose(model.parts()[part], plain.parts()[part] - step, atol=1e-4) and np.allclose(model.sums[part], total, rtol=1e-3)
+
+
+def test_lm_symbols_need_no_search(monkeypatch):
+    g = np.random.default_rng(8)
+    key = g.integers(0, 1 << 57, 3000)
+    key[:200] = (1 << 40) + np.arange(200)  # also where keys aren't spread
+    for n in (0, 1, 150, 2000):
+        symbols, rank = lm_score.Symbols(key[:n].copy()), {x: i for i, x in enumerate(key[:n].tolist())}
+        asked = np.concatenate((key, key - 1, key + 1, [0, (1 << 57) - 1]))
+        asked = asked[(asked >= 0) & (asked < 1 << 57)]
+        with monkeypatch.context() as m:
+            m.setattr(np, "searchsorted", None)
+            got = symbols(asked)
+        assert got.tolist() == [rank.get(x, n + x % lm_score.CLASSES) for x in asked.tolist()]
