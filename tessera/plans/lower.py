@@ -275,8 +275,10 @@ class Lowering:
         return r.select((F.col("first") + F.col("at")).alias(f"s{i}"), (F.col("first") + F.col("at") + F.col("len") - 1).alias(f"e{i}"), *keys)
 
     def tiled_runs(self, slot: Slot, keys: list[str]) -> DataFrame:
-        """A lone repeated token: maximal runs, cut at the largest length."""
+        """A lone repeated token: maximal runs, cut at the largest length; those of a bare word are left whole."""
         low, high = max(slot.low, 1), slot.high
+        if slot.whole:
+            return self.runs(slot.cond, keys).select(F.col("first").alias("s0"), (F.col("first") + F.col("n") - 1).alias("e0"), *keys)
         r = self.runs(slot.cond, keys).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / high))))
         size = F.least(F.lit(high), F.col("n") - F.col("k") * high)
         return r.where(size >= low).select((F.col("first") + F.col("k") * high).alias("s0"), (F.col("first") + F.col("k") * high + size - 1).alias("e0"), *keys)
