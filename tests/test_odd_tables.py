@@ -2,9 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators.commands import Settings
-from tessera.plans import catalog
+from tessera.plans import catalog, lower
 from tessera.plans.session import Session
 from tessera.sources import tables
 from tessera.sources.corpus import Corpus
@@ -98,3 +99,17 @@ def test_uneven_tables_are_spread(spark, tmp_path):
     df = tables.spread(spark.read.parquet(str(tmp_path / "t")), "doc_id")
     assert df.rdd.getNumPartitions() >= 4 and df.count() == 40_000
     assert sum(n > 0 for n in df.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()) >= 4
+
+
+def test_parallel_pairs_are_made_once(spark, odd, monkeypatch):
+    """Pairs share one smallest part of each value, so none has to be removed again; keys with many pairs are split."""
+    monkeypatch.setattr(lower, "PAIRS_MOST", 3)
+    s = catalog.session(spark, str(odd))
+    m = s.query('a:[lemma="the"] with b:[lemma="was"] :: a.text_domain = b.text_domain & a.text_lang = b.text_lang')
+    a, b = ({(r.lo, r.d, r.l) for r in s.query(f'[lemma="{w}"]').df.select("lo", F.col("_v0_text@domain").alias("d"), F.col("_v0_text@lang").alias("l")).collect()} for w in ("the", "was"))
+    parts = lambda x: {p for p in (x or "").split("|") if p and p != "_"}
+    want = sorted((x[0], y[0]) for x in a for y in b if parts(x[1]) & parts(y[1]) and parts(x[2]) & parts(y[2]))
+    assert sorted((r.lo, r.t_lo) for r in m.df.collect()) == want and len(want) > 100
+    plan = m.df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = next(k for k, line in enumerate(plan) if "Join" in line)
+    assert not any("Aggregate" in line for line in plan[:first])
